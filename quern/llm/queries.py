@@ -5,15 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import mixing, urlrules
+from quern.llm import language, licenses, media, mixing, urlrules, warc
 from quern.llm.common import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = language.predict(docs, language.fit(docs.filter(language.training_rows())))
+    return found.select("doc_id", (~language.training_rows()).alias("held_out"), "lang_pred", "score")
+
+
 def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return urlrules.judge(pages).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.read(media.store(table(spark, sf_dir, "documents")))
+    feature = F.concat_ws(";", "media_type", "facts", F.concat(F.lit("carved="), F.size("carved")))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("expressions")
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.by_position(mixing.mix(docs)).select("doc_id", "size", "source_size", "target", "taken")
@@ -21,7 +42,11 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_language_id": op1_language_id,
         "op2_url_filters": op2_url_filters,
+        "op5_media_columns": op5_media_columns,
+        "op6_license_scan": op6_license_scan,
+        "op9_warc": op9_warc,
         "op10_mix_sources": op10_mix_sources,
     }
 
