@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import language, licenses, media, mixing, urlrules, warc
+from quern.llm import jaccard, language, licenses, media, mixing, urlrules, warc
 from quern.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlrules.judge(pages).select("page_id", "host", "path", "rule", "verdict", "pattern")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.read(media.store(table(spark, sf_dir, "documents")))
     feature = F.concat_ws(";", "media_type", "facts", F.concat(F.lit("carved="), F.size("carved")))
@@ -44,6 +48,7 @@ def queries() -> dict:
     return {
         "op1_language_id": op1_language_id,
         "op2_url_filters": op2_url_filters,
+        "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op5_media_columns": op5_media_columns,
         "op6_license_scan": op6_license_scan,
         "op9_warc": op9_warc,
