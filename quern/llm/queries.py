@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import jaccard, language, licenses, media, mixing, urlrules, warc
+from quern.llm import jaccard, language, licenses, media, mixing, suffixes, urlrules, warc
 from quern.llm.common import table
 
 
@@ -34,6 +34,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents")).drop("expressions")
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.without_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -51,6 +55,7 @@ def queries() -> dict:
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
         "op5_media_columns": op5_media_columns,
         "op6_license_scan": op6_license_scan,
+        "op7_suffix_array_dedup": op7_suffix_array_dedup,
         "op9_warc": op9_warc,
         "op10_mix_sources": op10_mix_sources,
     }
