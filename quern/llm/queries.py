@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import jaccard, language, licenses, media, mixing, suffixes, urlrules, warc
+from quern.llm import jaccard, language, licenses, media, mixing, pieces, prints, suffixes, urlrules, warc
 from quern.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.decode(pieces.encode(table(spark, sf_dir, "documents")), texts=False)
+
+
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = media.read(media.store(table(spark, sf_dir, "documents")))
     feature = F.concat_ws(";", "media_type", "facts", F.concat(F.lit("carved="), F.size("carved")))
@@ -38,6 +42,10 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.without_repeats(table(spark, sf_dir, "documents"), digests=True)
 
 
+def op8_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prints.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(spark, table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -53,9 +61,11 @@ def queries() -> dict:
         "op1_language_id": op1_language_id,
         "op2_url_filters": op2_url_filters,
         "op3_ngram_jaccard_join": op3_ngram_jaccard_join,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_media_columns": op5_media_columns,
         "op6_license_scan": op6_license_scan,
         "op7_suffix_array_dedup": op7_suffix_array_dedup,
+        "op8_document_fingerprints": op8_document_fingerprints,
         "op9_warc": op9_warc,
         "op10_mix_sources": op10_mix_sources,
     }
