@@ -36,6 +36,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """A written table, marked for broadcast if it has at most so many rows; else joins shuffle it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate of a plan; runs no job."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

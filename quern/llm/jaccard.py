@@ -8,14 +8,14 @@ w words that hold tokens at least w - D agree, so a set with fewer partners' wor
 
 Copies share one owner, a hash of the set; owners, not documents, are joined. Then, all exact:
 
-1. buckets of equal sketch words; owners with too few shared words go (``multi``, ``candidates``);
-2. of a linked set at least 4/5 of the tokens occur in another candidate; owners that have fewer go (``supported``);
-3. each bucket's members are compared with its first one, and what links is merged (``stars``, ``linked``,
-   ``components``); in buckets that still hold several components, all pairs across them are compared.
+1. buckets of equal sketch words (``buckets``); an owner that shares fewer words than a link needs goes;
+2. each bucket's members are met by its first one (a star), not by each other; what links is merged (``components``);
+3. in buckets that still hold several components, members of different components are met.
 
-No step makes all pairs of a group of copies; links between different texts are lost in none. Within a map task,
-members of a bucket (and owners of a token) are met by their first one only, so a hot bucket sends one entry from
-each task.
+Before sets are fetched and counted, a pair must pass the same bound on a parity sketch of 1024 single bits: more than
+(a + b) / 9 differing bits rule it out. Both bounds are exact, so links between different texts are lost in none, and
+no step makes all pairs of a group of copies. A map task meets the members of a bucket by their first one at once and
+sends only that on, so a hot bucket sends one entry from each task. What is broadcast is counted first (``small``).
 
 Defined results: null and empty texts, or texts of white space, have n_shingles 0 and link with nothing; a text with
 fewer words than a shingle is one shingle; rows with equal ids are one node for components; extra columns are left out.
@@ -27,10 +27,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import estimated_bytes, mix64, written
+from quern.llm.common import estimated_bytes, mix64, small, written
 from quern.llm.shingles import Hasher
 
 RATIO = 1.25
@@ -100,6 +100,10 @@ def runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # -- entries of buckets on their way: key, owner, band, least, and whether the bucket has met a second owner -------------
 _ENTRY = np.dtype([("key", "<u8"), ("owner", "<i8"), ("least", "<u2"), ("band", "u1"), ("met", "u1")])
+#: Of the buckets with the same members in a share 1 / DENSE of the keys one is kept, with their number.
+DENSE = 64
+#: 64-bit words of the sketch of single bits.
+WORDS = 16
 _DOC = np.dtype([("doc", "<i8"), ("owner", "<i8"), ("n", "<i8")])
 #: Entries that a task holds before it sends them.
 HOLD = 3_000_000
@@ -186,23 +190,45 @@ def buckets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
         kinds, blobs = table.column("kind").to_pylist(), table.column("blob").to_pylist()
         parts = {k: [unpacked(x) for q, x in zip(kinds, blobs, strict=True) if q == k] for k in (0, 1)}
         go, rows = met(np.concatenate(parts[0])) if parts[0] else (np.zeros(0, _ENTRY), np.zeros(0, _ENTRY))
-        rows = np.concatenate([rows, go[go["met"] > 0], *parts[1]])
+        rows, times = thinned(rows)
+        alone = go[(go["met"] > 0) & ~np.isin(go["key"], rows["key"])]  # met by others within a map task only
+        settled = np.concatenate([alone, *parts[1]])
+        rows, times = np.concatenate([rows, settled]), np.concatenate([times, np.ones(len(settled), np.int64)])
         d = np.concatenate([np.zeros(0, _DOC), *(np.frombuffer(x, _DOC) for q, x in zip(kinds, blobs, strict=True) if q == 2)])
         none, zero = np.zeros(len(d), np.int64), np.zeros(len(rows), np.int64)
         return pa.table({
             "doc": np.concatenate([zero, d["doc"]]), "n": np.concatenate([zero - 1, d["n"]]), "owner": np.concatenate([rows["owner"], d["owner"]]),
-            "key": np.concatenate([rows["key"].astype(np.int64), none]), "band": np.concatenate([rows["band"].astype(np.int64), none]), "least": np.concatenate([rows["least"].astype(np.int64), none]),
+            "key": np.concatenate([rows["key"].astype(np.int64), none]), "band": np.concatenate([rows["band"].astype(np.int64), none]), "least": np.concatenate([rows["least"].astype(np.int64), none]), "times": np.concatenate([times, none]),
         })
 
     x = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text}`")).filter(F.col(f"`{id_col}`").isNotNull())
     x = x.mapInArrow(spread, "slice int, kind int, blob binary").groupBy("slice")
-    return written(x.applyInArrow(gather, "doc long, n long, owner long, key long, band long, least long"), "jaccard-buckets")
+    return written(x.applyInArrow(gather, "doc long, n long, owner long, key long, band long, least long, times long"), "jaccard-buckets")
+
+
+def thinned(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Members sorted by key -> the same without buckets that repeat another's members, and how often each counts.
+
+    Buckets of which some members are elsewhere stay as they are.
+    """
+    first, n = runs(rows["key"])
+    if not len(first):
+        return rows, np.zeros(0, np.int64)
+    whole = np.maximum.reduceat(rows["met"], first) == 0
+    place = (mix64(rows["key"][first]) >> U64(32)) * U64(DENSE) >> U64(32)
+    sign = mix64(np.add.reduceat(mix64(rows["owner"].view("<u8")), first) ^ mix64(place * U64(1024) + rows["band"][first]))
+    sign = np.where(whole, sign, rows["key"][first])
+    _, at, times = np.unique(sign, return_index=True, return_counts=True)
+    kept = np.zeros(len(first), np.int64)
+    kept[at] = times
+    per_row = np.repeat(kept, n)
+    return rows[per_row > 0], per_row[per_row > 0]
 
 
 # -- tokens of candidates --------------------------------------------------------------------------------------------
 def token_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5) -> DataFrame:
-    """wanted (doc, owner): owner and its sorted tokens."""
-    x = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).join(wanted, "doc").select("owner", "text")
+    """wanted (doc, owner): owner, its sorted tokens, their number n, and s0 to s15, the sketch of their single bits."""
+    x = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).join(small(wanted), "doc").select("owner", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(width)
@@ -211,57 +237,32 @@ def token_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", id_col: s
                 c = b.slice(a, 512)
                 s = [t.astype(np.int64) for t in h.sets(c.column(1).to_pylist())]
                 cut = np.concatenate([[0], np.cumsum([len(t) for t in s])])
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *s])))], names=["owner", "tokens"])
-
-    return x.mapInArrow(run, "owner long, tokens array<long>")
-
-
-_TOKEN = np.dtype([("token", "<u8"), ("owner", "<i8")])
+                bits = np.zeros((len(s), WORDS * 64), np.uint8)
+                for k, t in enumerate(s):
+                    bits[k] = np.bincount(t & (WORDS * 64 - 1), minlength=WORDS * 64) & 1
+                words = np.packbits(bits, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *s]))), pa.array(np.diff(cut), pa.int64()), *(pa.array(words[:, k]) for k in range(WORDS))], names=["owner", "tokens", "n", *_SKETCH])
 
+    return x.mapInArrow(run, "owner long, tokens array<long>, n long, " + ", ".join(f"{c} long" for c in _SKETCH))
 
-def supported(sets: DataFrame) -> DataFrame:
-    """Owners of which 4/5 of the tokens or more occur in another owner of sets (owner, tokens)."""
-    n_slices = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(sets) // (16 << 20)))
-    schema = "slice int, blob binary, owner long, shared long"
 
-    def credit(owners: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(owners, return_counts=True)
+_SKETCH = [f"s{k}" for k in range(WORDS)]
 
-    def send(tokens: np.ndarray, owners: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(tokens, kind="stable")
-        t, o = tokens[order], owners[order]
-        first, n = runs(t)
-        many = np.repeat(n > 1, n)
-        to_owner, shared = credit(o[many])
-        out = np.empty(len(first), _TOKEN)
-        out["token"], out["owner"] = t[first], np.where(n > 1, 0, o[first])  # owner 0: already credited
-        place = (((out["token"] >> U64(32)) * U64(n_slices)) >> U64(32)).astype(np.int64)
-        cut, m = runs(place)
-        k = len(cut)
-        yield pa.RecordBatch.from_arrays([pa.array(place[cut].tolist() + [0] * len(to_owner), pa.int32()), pa.array([out[a : a + b].tobytes() for a, b in zip(cut.tolist(), m.tolist(), strict=True)] + [None] * len(to_owner), pa.binary()), pa.array([0] * k + to_owner.tolist(), pa.int64()), pa.array([0] * k + shared.tolist(), pa.int64())], names=["slice", "blob", "owner", "shared"])
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            tokens = b.column(1)
-            sizes = np.diff(tokens.offsets.to_numpy())
-            yield from send(tokens.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view("<u8"), np.repeat(b.column(0).to_numpy(), sizes))
-
-    def gather(table: pa.Table) -> pa.Table:
-        e = np.concatenate([np.frombuffer(x, _TOKEN) for x in table.column("blob").to_pylist()])
-        e = e[np.argsort(e["token"], kind="stable")]
-        first, n = runs(e["token"])
-        o, c = credit(e["owner"][np.repeat(n > 1, n)])
-        return pa.table({"owner": o, "shared": c.astype(np.int64)}).filter(pa.array(o != 0))
-
-    parts = written(sets.mapInArrow(spread, schema), "jaccard-tokens")
-    far = parts.filter("blob is not null").select("slice", "blob").groupBy("slice").applyInArrow(gather, "owner long, shared long")
-    total = parts.filter("blob is null").select("owner", "shared").union(far).groupBy("owner").agg(F.sum("shared").alias("shared"))
-    return sets.select("owner", F.size("tokens").alias("n")).join(total, "owner").filter("100 * shared >= 80 * n").select("owner")
+def may_link(a: str, b: str) -> Column:
+    """The bound on sketches, over rows with n and sketch columns of both sides."""
+    apart = F.lit(0)
+    for c in _SKETCH:
+        apart = apart + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
+    return 9 * apart <= F.col(f"{a}.n") + F.col(f"{b}.n")
 
 
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of pairs (a, b) whose sets have 100 * intersection >= 80 * union."""
-    x = pairs.join(sets.select(F.col("owner").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("owner").alias("b"), F.col("tokens").alias("tb")), "b")
+    pairs = small(pairs)
+    wanted = small(written(pairs.select(F.col("a").alias("owner")).union(pairs.select("b")).distinct(), "wanted"))
+    own = sets.join(wanted, "owner").select("owner", "tokens")
+    x = own.select(F.col("owner").alias("a"), F.col("tokens").alias("ta")).join(pairs, "a").join(own.select(F.col("owner").alias("b"), F.col("tokens").alias("tb")), "b")
     both = F.size(F.array_intersect("ta", "tb"))
     return x.filter(100 * both >= 80 * (F.size("ta") + F.size("tb") - both)).select("a", "b")
 
@@ -283,29 +284,37 @@ def components(edges: DataFrame) -> DataFrame:
         labels = x.select("node", "label")
 
 
+def passing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of pairs (a, b) that the bound on sketches leaves."""
+    sketches = small(sketches)
+    x = pairs.join(sketches.alias("p"), F.col("a") == F.col("p.owner")).join(sketches.alias("q"), F.col("b") == F.col("q.owner"))
+    return x.filter(may_link("p", "q")).select("a", "b")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs with an id."""
     found = buckets(docs, text, id_col, width)
     of_docs = found.filter("n >= 0").select("doc", "n", "owner")
-    members = found.filter("n < 0").select("key", "owner", "band", "least")
+    members = found.filter("n < 0").select("key", "owner", "band", "least", "times")
     classes = of_docs.filter("n > 0").groupBy("owner").agg(F.min("doc").alias("doc"))
-    counts = members.groupBy("owner", "band", "least").agg(F.count_distinct("key").alias("shared"))
-    candidates = counts.filter("shared >= least").select("owner").distinct()
-    sets = written(token_sets(docs, written(classes.join(candidates, "owner").select("doc", "owner"), "candidates"), text, id_col, width), "sets")
-    good = written(supported(sets), "supported")
+    candidates = written(members.groupBy("owner", "band", "least").agg(F.sum("times").alias("shared")).filter("shared >= least").select("owner").distinct(), "candidates")
+    sets = written(token_sets(docs, written(classes.join(small(candidates), "owner").select("doc", "owner"), "wanted"), text, id_col, width), "sets")
+    sketches = sets.drop("tokens")
+    left = members.select("key", "owner").join(small(candidates), "owner")
     # stars: each member of a bucket with the bucket's first
-    left = written(members.select("key", "owner").join(good, "owner").distinct(), "members")
-    firsts = left.groupBy("key").agg(F.min("owner").alias("first"), F.count("*").alias("size")).filter("size > 1")
-    stars = written(left.join(firsts, "key").filter("owner <> first").select(F.col("first").alias("a"), F.col("owner").alias("b")).distinct(), "stars")
+    firsts = left.groupBy("key").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).filter("first <> last").select("key", "first")
+    stars = left.join(firsts, "key").filter("owner <> first").select(F.col("first").alias("a"), F.col("owner").alias("b")).distinct()
+    stars = written(passing(stars, sketches), "stars")
     edges = written(linked(stars, sets), "edges")
     labels = components(edges)
-    # buckets of several components: all pairs across them that haven't been compared
-    labelled = left.join(labels, left.owner == labels.node, "left").select("key", "owner", F.coalesce("label", "owner").alias("label"))
+    # buckets of several components: pairs across them
+    labelled = left.join(small(labels), left.owner == labels.node, "left").select("key", "owner", F.coalesce("label", "owner").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    rest = written(labelled.join(mixed, "key"), "mixed")
+    rest = written(labelled.join(mixed, "key").join(small(sketches), "owner"), "mixed")
     a, b = rest.alias("a"), rest.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.owner") < F.col("b.owner")) & (F.col("a.label") != F.col("b.label"))).select(F.col("a.owner").alias("a"), F.col("b.owner").alias("b")).distinct()
-    more = written(linked(across.join(stars, ["a", "b"], "left_anti"), sets), "edges")
+    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.owner") < F.col("b.owner")) & (F.col("a.label") != F.col("b.label")) & may_link("a", "b")).select(F.col("a.owner").alias("a"), F.col("b.owner").alias("b")).distinct()
+    across = written(across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
+    more = written(linked(across, sets), "edges")
     if not more.isEmpty():
         labels = components(edges.union(more))
     owners = classes.join(labels, classes.owner == labels.node, "left").select("owner", "doc", F.coalesce("label", "owner").alias("label"))
