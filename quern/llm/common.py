@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -36,6 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that are done with; it does so when the driver's JVM collects them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """A written table, marked for broadcast if it has at most so many rows; else joins shuffle it."""
     return F.broadcast(df) if df.count() <= rows else df
