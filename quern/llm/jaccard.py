@@ -322,3 +322,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     named = owners.join(heads, "label").select("owner", "component")
     out = of_docs.join(named, "owner", "left")
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5) -> DataFrame:
+    """The rows of docs, all columns as they are, without those that link, by way of others or not, with a smaller id.
+
+    Of rows with equal ids one stays; rows without an id stay.
+    """
+    found = near_duplicates(docs, text, id_col, width)
+    gone = written(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    number = F.col(f"`{id_col}`").cast("long")
+    if not docs.groupBy(number.alias("i")).agg(F.count("*").alias("n")).filter("i is not null and n > 1").isEmpty():
+        docs = docs.filter(number.isNull()).unionByName(docs.filter(number.isNotNull()).dropDuplicates([id_col]))
+    return docs.join(small(gone), number == F.col("_gone"), "left_anti")

@@ -214,3 +214,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id_col: str = "do
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[id_col, "lang_pred", "score"])
 
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+
+
+def recognised(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of docs, all columns as they are, whose text has a language: those that predict() calls und go."""
+    sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.table))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Predictor(Model(*sent.value))
+        for b in batches:
+            known = [x[0] != "und" for texts in by_size(b.column(at).to_pylist()) for x in p(texts)]
+            yield b.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
