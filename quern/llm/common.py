@@ -37,6 +37,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name += "_"
+    return name
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that are done with; it does so when the driver's JVM collects them."""
     gc.collect()
@@ -49,14 +57,13 @@ def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def slices(df: DataFrame, bytes_each: int) -> int:
-    """How many slices keep each at about bytes_each, and all of the cluster's shuffle partitions in use."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(least, -(-estimated_bytes(df) // bytes_each))
+    """What a plan reads, by the size of its sources; runs no job, unless a source's size isn't known to Spark."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    total = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    if total < 1 << 50:
+        return total
+    texts = [F.sum(F.octet_length(F.col(f"`{f.name}`"))) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
+    return sum(x or 0 for x in df.agg(F.count("*"), *texts).first())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

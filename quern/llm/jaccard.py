@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import estimated_bytes, mix64, small, written
+from quern.llm.common import estimated_bytes, mix64, small, unused, written
 from quern.llm.shingles import Hasher
 
 RATIO = 1.25
@@ -330,8 +330,9 @@ def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", w
     Of rows with equal ids one stays; rows without an id stay.
     """
     found = near_duplicates(docs, text, id_col, width)
-    gone = written(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    mark = unused(docs, "_gone")
+    gone = written(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(mark)).distinct(), "gone")
     number = F.col(f"`{id_col}`").cast("long")
     if not docs.groupBy(number.alias("i")).agg(F.count("*").alias("n")).filter("i is not null and n > 1").isEmpty():
         docs = docs.filter(number.isNull()).unionByName(docs.filter(number.isNotNull()).dropDuplicates([id_col]))
-    return docs.join(small(gone), number == F.col("_gone"), "left_anti")
+    return docs.join(small(gone), number == F.col(mark), "left_anti")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import written
+from quern.llm.common import unused, written
 
 WEIGHTS = (5, 2, 1)
 TOTAL = 1.5
@@ -105,7 +105,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     Rows that share id and text are one document here: each of them is repeated alike.
     """
     key = F.xxhash64("doc_id", "text")
+    row, place, all_places = unused(docs, "_row"), unused(docs, "_position"), unused(docs, "_positions")
     plan = mix(docs, keep=[key.alias("_row")], **how).filter("copies > 0")
-    plan = plan.groupBy("_row").agg(F.max("positions").alias("_positions"))
-    x = docs.withColumn("_row", key).join(plan, "_row").withColumn("_position", F.explode("_positions"))
-    return x.orderBy("_position", "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])
+    plan = plan.groupBy(F.col("_row").alias(row)).agg(F.max("positions").alias(all_places))
+    x = docs.withColumn(row, key).join(plan, row).withColumn(place, F.explode(all_places))
+    return x.orderBy(place, "doc_id").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import estimated_bytes, mix64, release, written
+from quern.llm.common import estimated_bytes, mix64, release, unused, written
 
 LENGTH = 50
 GRAM = 16
@@ -352,7 +352,7 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id", digests: bool = False) -> DataFrame:
     """docs with the repeated bytes cut out of their texts (a character that loses a byte goes as a whole), or with
     digests the id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
-    docs = docs.drop("_part") if "_part" in docs.columns else docs
+    part = unused(docs, "_part")
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     size = estimated_bytes(docs)
@@ -376,7 +376,7 @@ def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     def with_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = np.array([_LAST if i is None else int(i) for i in b.column(id_at).to_pylist()], np.int64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part_of(ids, n_parts), pa.int32())], names=[*names, "_part"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part_of(ids, n_parts), pa.int32())], names=[*names, part])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         s = np.concatenate([np.zeros(0, _SPANS), *(np.frombuffer(x, _SPANS) for x in right.column("spans").to_pylist())])
@@ -401,6 +401,6 @@ def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     kinds = {f.name: f.dataType.simpleString() for f in wanted.schema.fields}
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
-    dealt = wanted.mapInArrow(with_part, f"{schema}, _part int")
+    dealt = wanted.mapInArrow(with_part, f"{schema}, `{part}` int")
     out = f"`{id_col}` {kinds[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digests else schema
-    return dealt.groupBy("_part").cogroup(spans.groupBy("part")).applyInArrow(cut, out)
+    return dealt.groupBy(part).cogroup(spans.groupBy("part")).applyInArrow(cut, out)

@@ -1,0 +1,382 @@
+"""The operators of quern.llm on awkward tables and against plain versions of themselves."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import pytest
+from pyspark.sql import functions as F
+
+from quern.llm import jaccard, language, licenses, media, mixing, pieces, prints, suffixes, urlrules, warc
+from quern.llm.common import fresh_path
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, owner string, key int, size double, _part string, _row int, _gone int, component_id string, ids string, h int, score string"
+WORDS = [f"w{k}" for k in range(300)]
+
+
+def prose(seed, n=60):
+    r = random.Random(seed)
+    return " ".join(r.choice(WORDS) for _ in range(n))
+
+
+def row(i, text, lang="en", source="a"):
+    return (i, text, lang, source, len(text or ""), "o", 1, 2.0, "p", 3, 4, "c", "i", 5, "s")
+
+
+@pytest.fixture(scope="module")
+def texts():
+    base = prose(1)
+    near = base.split()
+    near[30] = "changed"
+    return {
+        1: None, 2: "", 3: " \t\n ", 4: base, 5: " ".join(near), 6: base, 7: prose(2) + " " + base, 8: "one two", 9: "ONE  two", 10: "é" * 120 + "日本語テキスト" * 30, 11: prose(3, 20_000), 12: "The " * 500, 13: prose(4) + "\n" + "Licensed under CC BY-NC 4.0.",
+        14: "a\x00b " * 40, 15: "x" * 60_000, 16: "123 456", 17: "😀 " * 80, 18: base[:200],
+    }
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    rows = [row(i, t, None if i == 7 else "en", None if i % 5 == 0 else "ab"[i % 2]) for i, t in texts.items()]
+    return spark.createDataFrame(rows + [rows[3], row(None, "no id here at all, really none"), row(20, prose(9), "fr")], SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+# -- 1 -------------------------------------------------------------------------------------------------------------------
+def test_language(spark, docs, empty):
+    m = language.fit(docs)
+    assert m.langs == ["en", "fr"]
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, m).collect()}
+    assert all(got[i] == ("und", 0.0) for i in (1, 2, 3, 16, 17))
+    assert got[4][0] == got[11][0] == "en" and 0 <= got[11][1] <= 1
+    assert language.predict(empty, m).count() == 0
+    none = language.fit(empty)
+    assert {r.lang_pred for r in language.predict(docs, none).collect()} == {"und"}
+    kept = language.recognised(docs, m)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()}.isdisjoint({1, 2, 3, 16, 17})
+
+
+def test_language_backoff():
+    import numpy as np
+
+    rows = np.log(np.array([[0.9, 0.1], [0.2, 0.8], [0.5, 0.5]]))
+    m = language.Model(["aa", "bb"], {"known": 0}, [{}, {"q": 2}, {"xy": 1}], rows)
+    p = language.Predictor(m)
+    assert [x[0] for x in p(["known", "zxyz", "q", "KNOWN", "12"])] == ["aa", "bb", "aa", "aa", "und"]
+    for w in ("xyq", "q", "nothing"):
+        p([w])
+        assert np.allclose(p.table[p.rows[w]], language.backoff(m, w))
+
+
+# -- 2 -------------------------------------------------------------------------------------------------------------------
+def test_url_rules(spark):
+    cases = {
+        "http://a.COM/en/1": ("a.com", "/en/1", "com/en/", "block"), "http://x.example.com/en/70?q#f": ("x.example.com", "/en/70", "example.com/en/7", "allow"), "https://notexample.com/en/7": ("notexample.com", "/en/7", "com/en/", "block"),
+        "http://example.net/de/8": ("example.net", "/de/8", "example.net/de/8", "block"), "http://y.net/de/9": ("y.net", "/de/9", "net/de/", "allow"), "http://b.org?x=/es/": ("b.org", "", None, "allow"), "b.org/es/": ("", "", None, "allow"),
+        None: ("", "", None, "allow"), "http://b.org/EN/": ("b.org", "/EN/", None, "allow"), "http://u/es/": ("u", "/es/", None, "allow"), "x://casino.example/ads/1": ("casino.example", "/ads/1", None, "block"), "http://org/es/": ("org", "/es/", "org/es/", "block"),
+    }
+    df = spark.createDataFrame([(k, u, "h") for k, u in enumerate(cases)], "page_id int, url string, host string")
+    got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in urlrules.judge(df).collect()}
+    assert got == cases
+    assert urlrules.judge(df.limit(0)).count() == 0
+
+
+# -- 3 -------------------------------------------------------------------------------------------------------------------
+def brute_sets(texts):
+    out = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        out[i] = {tuple(w[k : k + 5]) for k in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+    return out
+
+
+def brute_components(sets):
+    label = {i: i for i in sets}
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    for _ in sets:
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    return label
+
+
+def test_jaccard(docs, empty, texts):
+    texts = texts | {20: prose(9)}
+    sets = brute_sets(texts)
+    want = brute_components(sets)
+    got = jaccard.near_duplicates(docs).collect()
+    assert len(got) == len(texts) + 1
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), want[i]) for i, s in sets.items()}
+    assert want[5] == want[6] == 4 and want[9] == 8
+    assert jaccard.near_duplicates(empty).count() == 0
+    kept = jaccard.first_of_each(docs)
+    assert kept.columns == docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([i for i in texts if want[i] == i] + [None])
+
+
+def test_jaccard_chains(spark):
+    """Families of edits in which neighbours link and ends don't, with many copies."""
+    r, texts, i = random.Random(5), {}, 0
+    for f in range(12):
+        w = prose(100 + f, r.choice([6, 9, 14, 30, 80, 200])).split()
+        for _ in range(r.choice([2, 6, 15])):
+            texts[i], i = " ".join(w), i + 1
+            for _ in range(max(1, len(w) // 40)):
+                w[r.randrange(len(w))] = r.choice(WORDS)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    want = brute_components(brute_sets(texts))
+    assert {x.doc_id: x.component_id for x in jaccard.near_duplicates(df).collect()} == want
+
+
+# -- 4 -------------------------------------------------------------------------------------------------------------------
+def test_pieces(docs, empty, texts):
+    e = pieces.encode(docs, k=3)
+    back = pieces.decode(e).collect()
+    assert {r.doc_id for r in back} == set(texts) | {None, 20}
+    for r in back:
+        assert r.text == (texts | {20: prose(9), None: "no id here at all, really none"})[r.doc_id] or not r.text and not texts[r.doc_id]
+    seen = Counter((r.doc_id, tuple(r.ids)) for r in back if r.doc_id != 4)
+    assert max(seen.values()) == 1
+    assert {(r.doc_id, r.sample): tuple(r.ids) for r in back} == {(r.doc_id, r.sample): tuple(r.ids) for r in pieces.encode(docs.repartition(7), k=3).collect()}
+    assert pieces.encode(empty).count() == 0
+
+
+def test_pieces_distribution():
+    import numpy as np
+
+    lat = pieces.Lattices(pieces.vocabulary(pieces.model_path()))
+    n, first, both, p = 1500, Counter(), Counter(), {}
+    for key in range(n):
+        (a, pa, _), (b, pb, _) = next(pieces.encode_texts(lat, [key], ["ver the"], 2, 0))
+        first[a.tobytes()] += 1
+        both[a.tobytes(), b.tobytes()] += 1
+        p[a.tobytes()], p[b.tobytes()] = np.exp(pa), np.exp(pb)
+    for a, c in first.most_common(2):
+        assert c / n == pytest.approx(p[a], abs=0.05)
+    for (a, b), c in both.most_common(2):
+        assert c / n == pytest.approx(p[a] * p[b] / (1 - p[a]), abs=0.05)
+
+
+# -- 5 -------------------------------------------------------------------------------------------------------------------
+def test_media(docs, empty, texts):
+    got = {r.doc_id: r for r in media.read(media.store(docs)).collect()}
+    for i, t in texts.items():
+        n, payload = media.payload_of(t)
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert len(payload) % 576 == 0 and r.payload_bytes > 0 and r.media_type in media.WRITERS
+    assert media.read(media.store(empty)).count() == 0
+
+
+def test_media_carving():
+    import struct
+
+    def chunk(tag, data):
+        return struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+
+    png = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", 1, 1, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"\0\0")) + chunk(b"IEND", b"")
+    gif = b"GIF89a\x01\x00\x01\x00\x80\x00\x00\x00\x00\x00\xff\xff\xff\x2c\x00\x00\x00\x00\x01\x00\x01\x00\x00\x02\x02\x44\x01\x00\x3b"
+    payload = b"BM text RIFF " + png + b" P5\n and " + gif + b"\xff\xd8\xff"
+    payload += b"\xff" * (-len(payload) % 576)
+    a = media.automaton()
+    for kind, write in media.WRITERS.items():
+        m = write(payload)
+        found = media.sniff(m, a)
+        assert found[0][1] == kind and m[found[0][2][1] : found[0][2][2]] == payload
+        assert [(k, m[s : f[0]]) for s, k, f in found[1:]] == [("image/png", png), ("image/gif", gif)]
+        assert media.sniff(m[:-3], a)[:1] != found[:1]
+    assert media.sniff(png[:-1], a) == [] and media.sniff(b"", a) == []
+
+
+# -- 6 -------------------------------------------------------------------------------------------------------------------
+def brute_license(t):
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+    at = [(k, label) for p, label in licenses.BASE.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
+    return len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at}))
+
+
+def test_licenses(spark, docs, empty, texts):
+    more = {100: "cc by cc by, CC-BY. xcc by", 101: "General Public LICENSE all rights reserved all rights-reserved", 102: "é cc byé cc by", 103: "Lesser general public license; MIT License"}
+    df = docs.select("doc_id", "text").union(spark.createDataFrame(list(more.items()), "doc_id long, text string"))
+    got = {r.doc_id: r for r in licenses.scan(df).collect()}
+    for i, t in (texts | more).items():
+        r = got[i]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == brute_license(t)
+        assert set(filter(None, r.base_labels.split(","))) <= set(filter(None, r.labels.split(",")))
+    assert got[103].labels == "gpl,lgpl,mit"
+    assert licenses.scan(empty).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "polish", "granted"),
+    [("MIT", "mit", True), ("MIT OR GPL-2.0-only", "mit gpl-2.0-only or", True), ("MIT AND GPL-2.0-only", "mit gpl-2.0-only and", False), ("(MIT OR GPL-3.0) AND Apache-2.0 */", "mit gpl-3.0 or apache-2.0 and", True),
+     ("GPL-2.0+ WITH Classpath-exception-2.0 OR ISC", "gpl-2.0+ classpath-exception-2.0 with isc or", True), ("AND MIT", None, None), ("", None, None), ("MIT AND", "mit", True), ("MIT OR (ISC", "mit", True)],
+)
+def test_license_expressions(text, polish, granted):
+    got = licenses.parse(text)
+    assert got == (polish.split() if polish else None)
+    if got:
+        assert licenses.granted(got) is granted
+    found = licenses.scan_text(f"# SPDX-License-Identifier: {text}\n", licenses.automaton())
+    assert found["permitted"] is granted
+
+
+# -- 7 -------------------------------------------------------------------------------------------------------------------
+def brute_repeats(rows):
+    first = {}
+    for i, t in sorted(rows, key=lambda x: x[0]):
+        b = (t or "").encode()
+        for p in range(len(b) - 49):
+            first.setdefault(b[p : p + 50], i)
+    out = []
+    for i, t in rows:
+        b = (t or "").encode()
+        covered = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < i:
+                covered[p : p + 50] = b"\1" * 50
+        kept = bytes(x for x, c in zip(b, covered, strict=True) if not c)
+        out.append((i, len(b), sum(covered), len(re.findall(rb"\x01+", bytes(covered))), hashlib.sha256(kept).hexdigest()))
+    return sorted(out)
+
+
+def test_suffixes(docs, empty, texts):
+    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
+    got = sorted(tuple(r) for r in suffixes.without_repeats(docs, digests=True).filter("doc_id is not null").collect())
+    assert got == brute_repeats(rows)
+    whole = suffixes.without_repeats(docs)
+    assert whole.columns == docs.columns and whole.count() == docs.count()
+    assert suffixes.without_repeats(empty).count() == suffixes.without_repeats(empty, digests=True).count() == 0
+
+
+def test_suffixes_edges(spark, monkeypatch):
+    """Shared passages at all offsets, periodic texts, rows with equal ids, and batches of a few runs."""
+    monkeypatch.setattr(suffixes, "BATCH", 16)
+    monkeypatch.setattr(suffixes, "PIECE", 4096)
+    monkeypatch.setattr(suffixes, "HOLD", 20_000)
+    r = random.Random(3)
+    passage = "".join(r.choice("abcdef ") for _ in range(400))
+    rows = []
+    for i in range(120):
+        a, n = r.randrange(300), r.choice([20, 49, 50, 51, 99, 100])
+        own = "".join(r.choice("abcdef ") for _ in range(r.choice([0, 10, 300])))
+        rows.append((i // 2 if i % 10 == 1 else i, own + passage[a : a + n] + own[:30] + ("ab" * 40 if i % 9 == 0 else "")))
+    rows.append((500, passage * 30))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert sorted(tuple(x) for x in suffixes.without_repeats(df, digests=True).collect()) == brute_repeats(rows)
+
+
+# -- 8 -------------------------------------------------------------------------------------------------------------------
+def test_prints(spark, docs, empty):
+    got = prints.compare_edited(docs).collect()
+    assert len(got) == docs.count()
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    ids = [r.doc_id for r in got if r.doc_id is not None]
+    assert Counter(ids) == Counter(i for i, _ in rows if i is not None)
+    texts = dict(rows)
+    follow = sorted(i for i in set(texts) if i is not None)
+    for r in got:
+        t = texts[r.doc_id]
+        assert r.n_chars == len(t) and 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        if r.doc_id is not None and r.doc_id != follow[-1]:
+            after = texts[follow[follow.index(r.doc_id) + 1]]
+            q = len(t) // 4
+            assert r.edited_sha256 == hashlib.sha256((t[: len(t) - q] + after[:q]).encode()).hexdigest()
+    by = {r.doc_id: r.fingerprint for r in got}
+    assert by[4] == by[6] and by[1] == by[2]
+    assert prints.compare_edited(empty).count() == 0
+    alone = prints.compare_edited(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).first()
+    assert alone.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and alone.near_next == 1.0
+
+
+# -- 9 -------------------------------------------------------------------------------------------------------------------
+def pages(spark):
+    rows = [(1, "http://a/", "<p>x</p>"), (2, "http://b/é ü\n", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "u", "<b>é</b>" * 50_000), (6, "u", "\x1f WARC/1.1 \r\n\r\n"), (6, "u", "\x1f WARC/1.1 \r\n\r\n"), (None, "u", "no id")]
+    return spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, record_type string").repartition(3)
+
+
+@pytest.mark.parametrize("split", [64, 1000, 4 << 20])
+def test_warc(spark, split):
+    df = pages(spark)
+    files = warc.write(df, fresh_path(spark, "test"))
+    got = warc.read(files, split).collect()
+    assert sorted((r.page_id or -1) for r in got) == [-1, 1, 2, 3, 4, 5, 6, 6] and all(r.intact for r in got)
+    kinds = {(r.page_id, r.record_type, r.refers_to) for r in got}
+    assert kinds == {(1, "revisit", 2), (2, "response", None), (3, "revisit", 4), (4, "response", None), (5, "response", None), (6, "response", None), (None, "response", None)}
+    want = {r.page_id: (r.html or "").encode() for r in df.collect()}
+    for r in got:
+        assert (r.payload_bytes, r.payload_digest) == (len(want[r.page_id]), warc.digest(want[r.page_id]))
+        assert r.record_type == "revisit" or bytes(r.payload) == want[r.page_id]
+
+
+def test_warc_false_magic(spark, tmp_path):
+    """Magic bytes that begin no member, within members that are stored and not packed."""
+    import gzip
+    import io
+
+    noise = b"".join(gzip.compress(b"no record") + warc.MAGIC * 3 for _ in range(20))
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nWARC-Payload-Digest: sha1:X\r\nContent-Length: %d\r\n\r\n"
+    block = b"HTTP/1.1 200 OK\r\n\r\n" + noise
+    data = b"".join(gzip.compress(head % (k, len(block)) + block + b"\r\n\r\n", compresslevel=0) for k in range(5))
+
+    class File:
+        def read_at(self, n, at):
+            return data[at : at + n]
+
+    for size in (50, 333, len(data)):
+        ids = [warc.fields(r)["page_id"] for at in range(0, len(data), size) for _, r in warc.records_of(File(), len(data), at, min(len(data), at + size))]
+        assert ids == list(range(5))
+    assert io and spark.read.schema("path string, bytes long, records long").parquet(str(_empty(spark, tmp_path))).count() == 0
+    assert warc.read(warc.write(pages(spark).limit(0), fresh_path(spark, "test"))).count() == 0
+
+
+def _empty(spark, tmp_path):
+    p = tmp_path / "e"
+    spark.createDataFrame([], "path string, bytes long, records long").write.parquet(str(p))
+    return p
+
+
+# -- 10 ------------------------------------------------------------------------------------------------------------------
+def test_mixing(spark, docs, empty):
+    got = mixing.mix(docs).collect()
+    assert len(got) == docs.count() and mixing.mix(empty).count() == 0 and mixing.by_position(mixing.mix(empty)).count() == 0
+    for r in got:
+        assert r.taken in (0, r.size, 2 * r.size) and len(r.positions) == r.copies and all(0 <= p <= 1 for p in r.positions)
+        assert r.target <= 2 * r.source_size
+    total = sum(r.size for r in got)
+    assert sum({r.source: r.target for r in got}.values()) == pytest.approx(1.5 * total)
+    for s in {r.source for r in got}:
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+    again = {(r.doc_id, r.size): r.taken for r in mixing.mix(docs.repartition(6)).collect()}
+    assert again == {(r.doc_id, r.size): r.taken for r in got}
+    out = mixing.mixed_documents(docs)
+    assert out.columns == docs.columns
+
+
+def test_mix_targets(spark):
+    """Water-filling against a loop that reshares what is above."""
+    sizes = {"a": 10, "b": 1000, "c": 50, "d": 3000, "e": 0, None: 70}
+    got = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
+    weights = dict(zip(sorted(sizes, key=lambda s: (s is None, s)), [5, 2, 1] * 2, strict=True))
+    want, left, open_ = {}, 1.5 * sum(sizes.values()), set(sizes)
+    while True:
+        share = {s: left * weights[s] / sum(weights[x] for x in open_) for s in open_}
+        above = {s for s in open_ if share[s] > 2 * sizes[s]}
+        if not above:
+            break
+        want |= {s: 2.0 * sizes[s] for s in above}
+        left -= sum(2 * sizes[s] for s in above)
+        open_ -= above
+    assert got == pytest.approx(want | share)
+
+
+def test_positions_invert_the_schedule(spark):
+    a, b = 2.0, 1.0
+    for u in (0.0, 0.3, 1.0):
+        t = spark.range(1).select(mixing._position(F.lit(u), F.lit(0), [(a, b)]).alias("t")).first().t
+        assert (a * t + (b - a) * t * t / 2) / ((a + b) / 2) == pytest.approx(u)
