@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import written
+from quern.llm.common import release, written
 
 #: The band of log(N / df) / log(N).
 BAND = (0.25, 0.85)
@@ -120,6 +120,7 @@ def edited(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
 def compare_edited(docs: DataFrame, text: str = "text", id_col: str = "doc_id", band=BAND) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of docs."""
     lex = lexicon(docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), "text", band)
+    release(docs.sparkSession)  # the counts' shuffle files go before texts move
     x = edited(docs, text, id_col)
     versions = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("v")
     keys = ["id", "h", "times", "n", "nid", "nh", "sha"]
