@@ -270,18 +270,25 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node that edges (a, b) reach; nodes without edges are left out.
 
-    Labels go to neighbours and are then followed one step further, so a path of length n takes about log n rounds.
+    Each round hangs every node below its smallest neighbour, goes one step up, and contracts the edges to the roots;
+    edges within a tree vanish, so what is joined shrinks from round to round, and a star is done after one.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    left, labels = written(edges.select(low, high).filter("a < b").distinct(), "edges"), None
     while True:
-        near = both.join(labels, both.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        x = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        x = written(x.join(up, "label", "left").select("node", "old", F.least("label", F.coalesce("up", "label")).alias("label")), "labels")
-        if x.filter("label <> old").isEmpty():
-            return x.select("node", "label")
-        labels = x.select("node", "label")
+        near = left.union(left.select(F.col("b"), F.col("a"))).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
+        near = written(near.select("node", F.least("node", "near").alias("near")), "near")
+        up = near.select(F.col("node").alias("near"), F.col("near").alias("label"))
+        roots = written(near.join(up, "near").select("node", "label"), "roots")
+        if labels is None:
+            labels = roots
+        else:
+            again = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
+            labels = written(labels.join(again, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
+        one, two = (roots.select(F.col("node").alias(c), F.col("label").alias(f"r{c}")) for c in ("a", "b"))
+        left = written(left.join(one, "a").join(two, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
+        if left.isEmpty():
+            return labels
 
 
 def passing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -315,9 +322,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.owner") < F.col("b.owner")) & (F.col("a.label") != F.col("b.label")) & may_link("a", "b")).select(F.col("a.owner").alias("a"), F.col("b.owner").alias("b")).distinct()
     across = written(across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
     more = written(linked(across, sets), "edges")
-    if not more.isEmpty():
-        labels = components(edges.union(more))
     owners = classes.join(labels, classes.owner == labels.node, "left").select("owner", "doc", F.coalesce("label", "owner").alias("label"))
+    if not more.isEmpty():
+        one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
+        between = more.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+        again = components(between).select(F.col("node").alias("label"), F.col("label").alias("root"))
+        owners = owners.join(again, "label", "left").select("owner", "doc", F.coalesce("root", "label").alias("label"))
     heads = owners.groupBy("label").agg(F.min("doc").alias("component"))
     named = owners.join(heads, "label").select("owner", "component")
     out = of_docs.join(named, "owner", "left")
