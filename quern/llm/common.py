@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -47,8 +48,10 @@ def unused(df: DataFrame, name: str) -> str:
 
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of plans that are done with; it does so when the driver's JVM collects them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):  # what the first one finds dead still holds the rest
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
