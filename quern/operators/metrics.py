@@ -159,3 +159,35 @@ def bootstrap_f1(df: DataFrame, by: str = "model", draws: int = 200, seed: int =
     x = x.withColumn("w", weight).groupBy(by, "draw").agg(*[F.sum(F.when(F.col("cell") == c, F.col("w")).otherwise(0)).alias(c) for c in ("tp", "fp", "fn")])
     f1 = _ratio(2 * F.col("tp"), (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double"))
     return x.groupBy(by).agg(F.percentile(f1, F.lit(0.025)).alias("low"), F.percentile(f1, F.lit(0.975)).alias("high"))
+
+
+def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
+    """t of the paired differences over folds, and their number; equal columns give 0."""
+    d = F.col(a) - F.col(b)
+    x = df.agg(F.count(d).alias("folds"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"))
+    t = F.when(F.coalesce(F.col("s"), F.lit(0.0)) == 0, F.when(F.col("m") == 0, F.lit(0.0))).otherwise(F.col("m") / (F.col("s") / F.sqrt("folds")))
+    return x.select("folds", F.col("m").alias("difference"), t.alias("t"), (F.col("folds") < 5).alias("few"))
+
+
+def within(df: DataFrame, a: str, b: str, y: str, delta: float = 0.005, draws: int = 200, seed: int = 42) -> DataFrame:
+    """Equivalence of two models' accuracy: the interval of the difference over Poisson resamples of the rows, and
+    whether it lies within delta. Rows alike in both answers add nothing to the difference and only count."""
+    n = df.count()
+    right = lambda c: ((F.col(c) >= 0.5).cast("int") == F.col(y)).cast("int")
+    x = df.select("id", (right(a) - right(b)).alias("d")).filter("d <> 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    u = F.pmod(F.xxhash64("id", "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    weight, total = F.lit(0), 0.0
+    for k in range(8):
+        total += math.exp(-1) / math.factorial(k)
+        weight = weight + (u >= total).cast("int")
+    x = x.groupBy("draw").agg((F.sum(F.col("d") * weight) / F.lit(max(n, 1))).alias("d"))
+    x = x.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))
+    low, high = F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(0.0))
+    return x.select(low.alias("low"), high.alias("high"), ((low >= -delta) & (high <= delta)).alias("equivalent"))
+
+
+def false_negatives(df: DataFrame, by: str = "model", cut: float = 0.5) -> DataFrame:
+    """Missed positives, positives, and their share."""
+    y = F.col("y_true") == 1
+    x = df.groupBy(by).agg(F.count_if(y & (F.col("y_proba") < cut)).alias("missed"), F.count_if(y).alias("positives"))
+    return x.withColumn("rate", _ratio(F.col("missed"), F.col("positives")))

@@ -89,3 +89,33 @@ def balance(df: DataFrame, id_col: str, source: str, label: str, tri: str, prote
 def crossing(df: DataFrame, cluster: str, split: str) -> DataFrame:
     """Clusters on more than one side of a split: empty if the split is sound."""
     return df.groupBy(cluster).agg(F.count_distinct(split).alias("sides")).filter("sides > 1")
+
+
+def fractions(df: DataFrame, id_col: str, seed: str, shares=(0.25, 0.5, 0.75, 1.0)) -> DataFrame:
+    """share, and the rows that belong to it: each share holds the smaller ones."""
+    u = uniform(F.col(id_col), seed)
+    return df.withColumn("share", F.explode(F.filter(F.array(*[F.lit(s) for s in shares]), lambda s: u <= s)))
+
+
+def equal_mass(df: DataFrame, group: str, id_col: str, draws: int, seed: str) -> DataFrame:
+    """A weighted sample with replacement in which all groups have the same expected mass: df with times >= 1.
+
+    A row's number of draws is Poisson with mean draws / (groups * size of its group), by hash of its id, so rows are
+    decided one by one and nothing is gathered but the sizes.
+    """
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
+    k = sizes.agg(F.count("*").alias("_k"))
+    sizes = sizes.join(F.broadcast(k), F.col("_n") >= F.lit(0))  # k is one row
+    x = df.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_m", F.lit(float(draws)) / (F.col("_k") * F.col("_n")))
+    u = (F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    # inverse of the Poisson distribution function: terms of the sum up to 60, beyond which no mean here reaches
+    steps = F.aggregate(F.sequence(F.lit(0), F.lit(60)), F.struct(F.exp(-F.col("_m")).alias("p"), F.exp(-F.col("_m")).alias("c"), F.lit(0).alias("n")), lambda a, i: F.struct((a["p"] * F.col("_m") / (i + 1)).alias("p"), (a["c"] + a["p"] * F.col("_m") / (i + 1)).alias("c"), (a["n"] + (u > a["c"]).cast("int")).alias("n")))
+    return x.withColumn("times", steps["n"]).filter("times > 0").drop("_g", "_n", "_k", "_m")
+
+
+def shuffled_options(options: Column, correct: Column, question: Column) -> Column:
+    """Options in hash order of (question, option), turned by one if the correct one would come first."""
+    keyed = F.transform(options, lambda o: F.struct(F.sha2(F.concat_ws("|", question, o), 256).alias("k"), o.alias("o")))
+    order = F.transform(F.array_sort(keyed), lambda s: s["o"])
+    turned = F.concat(F.slice(order, 2, 1_000_000), F.slice(order, 1, 1))
+    return F.when((F.size(order) > 1) & (F.element_at(order, 1) == correct), turned).otherwise(order)

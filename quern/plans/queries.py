@@ -463,3 +463,39 @@ def winsor_log1p(spark, sf_dir):
     bound = x.filter("l_orderkey % 5 <> 0").agg(F.percentile("l_extendedprice", F.lit(0.999)).alias("b")).first().b
     v = F.greatest(F.least(F.col("l_extendedprice"), F.lit(bound)), F.lit(0.0)) if bound and bound > 0 else F.greatest(F.col("l_extendedprice"), F.lit(0.0))
     return x.select("l_orderkey", "l_linenumber", F.round(F.log1p(v), 9).alias("scaled"))
+
+
+@query(f"WITH {P} SELECT model, sum((y_true = 1 AND y_proba < 0.5)::INT)::BIGINT AS missed, sum(y_true)::BIGINT AS positives, sum((y_true = 1 AND y_proba < 0.5)::INT) / sum(y_true)::DOUBLE AS rate FROM predictions GROUP BY model")
+def false_negative_rate(spark, sf_dir):
+    return metrics.false_negatives(predictions(spark, sf_dir))
+
+
+@query("SELECT doc_id, s AS share FROM (SELECT doc_id, (('0x' || substr(sha256('curve|' || doc_id::VARCHAR), 1, 8))::BIGINT % 10001) / 10000.0::DOUBLE AS u FROM documents), (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) v(s) WHERE u <= s")
+def training_fractions(spark, sf_dir):
+    return sampling.fractions(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", "curve")
+
+
+@query()
+def equal_mass_sample(spark, sf_dir):
+    return sampling.equal_mass(read(spark, sf_dir, "documents").select("doc_id", "lang"), "lang", "doc_id", 400, "mass")
+
+
+@query(f"WITH {P}, w AS (SELECT id, max(y_true) AS y, max(y_proba) FILTER (model = 'alpha') AS a, max(y_proba) FILTER (model = 'beta') AS b FROM predictions GROUP BY id), f AS (SELECT id % 5 AS fold, avg(((a >= 0.5)::INT = y)::INT) AS a, avg(((b >= 0.5)::INT = y)::INT) AS b FROM w GROUP BY 1) SELECT count(*) AS folds, round(avg(a - b), 9) AS difference, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 6) AS t, count(*) < 5 AS few FROM f")
+def paired_t_test(spark, sf_dir):
+    w = predictions(spark, sf_dir).groupBy("id").agg(F.max("y_true").alias("y"), *[F.max(F.when(F.col("model") == m, F.col("y_proba"))).alias(c) for m, c in (("alpha", "a"), ("beta", "b"))])
+    right = lambda c: F.avg(((F.col(c) >= 0.5).cast("int") == F.col("y")).cast("int")).alias(c)
+    return _r(metrics.paired_t(w.groupBy((F.col("id") % 5).alias("fold")).agg(right("a"), right("b")), "a", "b"), difference=9, t=6)
+
+
+@query("SELECT event_type, CASE WHEN s >= 3600 THEN format('{} h {} min', s // 3600, (s % 3600) // 60) WHEN s >= 60 THEN format('{} min', s // 60) ELSE format('{} s', s) END AS span FROM (SELECT event_type, epoch(max(ts))::BIGINT - epoch(min(ts))::BIGINT AS s FROM events GROUP BY 1)")
+def event_spans(spark, sf_dir):
+    from quern.sources.logs import human_duration
+
+    x = read(spark, sf_dir, "events").groupBy("event_type").agg(F.max("ts").cast("timestamp").alias("b"), F.min("ts").cast("timestamp").alias("a"))
+    return x.select("event_type", human_duration(F.unix_seconds("b") - F.unix_seconds("a")).alias("span"))
+
+
+@query("SELECT regexp_extract(c, '^(.)', 1) AS initial, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+')) AS c FROM benchmark) WHERE c <> '' AND length(c) BETWEEN 2 AND 20 AND length(regexp_replace(regexp_replace(c, '[-'']', '', 'g'), '[^\\p{L}]', '', 'g')) * 10 >= length(regexp_replace(c, '[-'']', '', 'g')) * 6 AND length(regexp_replace(c, '[-'']', '', 'g')) > 0 AND regexp_matches(regexp_replace(c, '[-'']', '', 'g'), '[aeiouáéíóúüàèìòùâêîôûäëïö]') GROUP BY 1")
+def legible_words(spark, sf_dir):
+    w = read(spark, sf_dir, "benchmark").select(F.explode(tx.tokens(F.lower("text"))).alias("w"))
+    return w.filter(tx.legible(F.col("w"))).groupBy(F.substring("w", 1, 1).alias("initial")).agg(F.count("*").alias("n"))

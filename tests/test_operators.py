@@ -147,3 +147,27 @@ def test_streams(spark, tmp_path):
         q.stop()
     assert spark.table("first").count() == 2
     assert spark.table("best").first().stop is True
+
+
+def test_log_intervals(spark, tmp_path):
+    from quern.sources import logs
+
+    (tmp_path / "q.log").write_text("noise\n[2024-01-01 10:00:00] e0_x\n[2024-01-01 11:05:00] e0_x terminado\n[2024-01-01 12:00:00] e1_y\n[2024-01-01 12:00:30] e1_y FALLÓ (1)\n[2024-01-01 13:00:00] e2_z\n")
+    got = {r.name: (r.seconds, r.failed, r.h) for r in logs.intervals(logs.read_log(spark, str(tmp_path / "q.log"))).withColumn("h", logs.human_duration(F.col("seconds"))).collect()}
+    assert got == {"e0_x": (3900, False, "1 h 5 min"), "e1_y": (30, True, "30 s"), "e2_z": (None, False, None)}
+
+
+def test_samples(spark):
+    df = spark.range(2000).select("id", F.when(F.col("id") < 1900, "big").otherwise("small").alias("g"))
+    got = {r.g: r.n for r in sampling.equal_mass(df, "g", "id", 1000, "s").groupBy("g").agg(F.sum("times").alias("n")).collect()}
+    assert 400 < got["big"] < 600 and 400 < got["small"] < 600
+    r = one(spark, sampling.shuffled_options(F.array(*[F.lit(c) for c in "abcd"]), F.lit("a"), F.lit("q")).alias("o")).o
+    assert sorted(r) == list("abcd") and r[0] != "a"
+
+
+def test_equivalence(spark):
+    df = spark.range(400).select("id", F.lit(1).alias("y"), F.lit(0.9).alias("a"), F.when(F.col("id") < 100, 0.1).otherwise(0.9).alias("b"))
+    same = metrics.within(df, "a", "a", "y").first()
+    assert (same.low, same.high, same.equivalent) == (0.0, 0.0, True)
+    r = metrics.within(df, "a", "b", "y").first()
+    assert 0.15 < r.low < 0.25 < r.high < 0.35 and not r.equivalent
