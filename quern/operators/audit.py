@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions.text import present
@@ -70,8 +70,8 @@ def mutual_information(df: DataFrame, a: str, b: str) -> DataFrame:
     """mi in nats and both entropies of two discrete columns: one row."""
     cells = df.groupBy(a, b).agg(F.count("*").alias("n"))
     ra, rb = cells.groupBy(F.col(a).alias("_a")).agg(F.sum("n").alias("na")), cells.groupBy(F.col(b).alias("_b")).agg(F.sum("n").alias("nb"))
-    total = cells.agg(F.sum("n").alias("t"))
-    x = cells.join(ra, F.col(a).eqNullSafe(F.col("_a"))).join(rb, F.col(b).eqNullSafe(F.col("_b"))).join(F.broadcast(total), F.col("n") <= F.col("t"))  # total is one row
+    ra = ra.withColumn("t", F.sum("na").over(Window.partitionBy()))  # a row for each value of a
+    x = cells.join(ra, F.col(a).eqNullSafe(F.col("_a"))).join(rb, F.col(b).eqNullSafe(F.col("_b")))
     p = F.col("n") / F.col("t")
     return x.agg(F.sum(p * F.ln(F.col("n") * F.col("t").cast("double") / (F.col("na") * F.col("nb")))).alias("mi"))
 

@@ -37,26 +37,28 @@ def missing_columns(df: DataFrame, required=tuple(c for c, _, _ in CANONICAL), s
     return gone
 
 
-POSITIVE = ("1", "1.0", "phishing", "phish", "phishing email", "spam", "malicious", "fraud")
-NEGATIVE = ("0", "0.0", "safe", "safe email", "ham", "legitimate", "legit", "benign")
+#: Fixed values.
+POSITIVE = ("phishing email", "phishing", "spam", "1", "malicious")
+NEGATIVE = ("safe email", "safe", "ham", "genuine", "legitimate", "0", "benign")
 
 
-def normalise_label(c: Column) -> Column:
-    """1 or 0 from a number, a token, or a substring; anything else is null."""
+def normalise_label(c: Column, numeric: bool = False) -> Column:
+    """1 or 0 from a number (its whole part), a token or a substring, positives first; anything else is null."""
+    if numeric:
+        whole = c.cast("int")
+        return F.when(whole.isin(0, 1), whole)
     t = F.lower(F.trim(c.cast("string")))
-    return F.when(t.isin(*POSITIVE), 1).when(t.isin(*NEGATIVE), 0).when(F.contains(t, F.lit("phish")), 1).when(F.contains(t, F.lit("safe")), 0)
+    return F.when(t.isin(*POSITIVE) | F.contains(t, F.lit("phish")), 1).when(t.isin(*NEGATIVE) | F.contains(t, F.lit("safe")), 0)
 
 
 #: Exact names before prefixes.
-FAMILIES_EXACT = {"SpamAssassin": "SpamAssassin"}
-FAMILIES_PREFIX = (("Spam", "Spam_Genuine_Mail"), ("PhishMMF", "PhishMMF"), ("Kaggle_", "Kaggle_Phishing_Email"))
+FAMILIES_EXACT = ("CEAS_08", "Kaggle", "Nazario", "SpamAssassin", "datacon2023", "phishing_pot")
+FAMILIES_PREFIX = (("PhishMMF", "PhishMMF"), ("Kaggle", "Kaggle_Phishing_Email"), ("Spam", "Spam_Genuine_Mail"))
 
 
 def source_family(c: Column) -> Column:
     """The family of a source: exact names, then prefixes, else the name itself; null is Unknown."""
-    out = F.when(c.isNull(), "Unknown")
-    for k, v in FAMILIES_EXACT.items():
-        out = out.when(c == k, v)
+    out = F.when(c.isNull(), "Unknown").when(c.isin(*FAMILIES_EXACT), c)
     for k, v in FAMILIES_PREFIX:
         out = out.when(c.startswith(k), v)
     return out.otherwise(c)

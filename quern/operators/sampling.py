@@ -104,8 +104,7 @@ def equal_mass(df: DataFrame, group: str, id_col: str, draws: int, seed: str) ->
     decided one by one and nothing is gathered but the sizes.
     """
     sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
-    k = sizes.agg(F.count("*").alias("_k"))
-    sizes = sizes.join(F.broadcast(k), F.col("_n") >= F.lit(0))  # k is one row
+    sizes = sizes.withColumn("_k", F.count("*").over(Window.partitionBy()))  # a row for each group
     x = df.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_m", F.lit(float(draws)) / (F.col("_k") * F.col("_n")))
     u = (F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     # inverse of the Poisson distribution function: terms of the sum up to 60, beyond which no mean here reaches

@@ -78,12 +78,14 @@ def canonical_projection(spark, sf_dir):
     return corpus.canonical(d).select("email_id", "source_dataset", "clean_text", "language", "has_html", "url_max_digit_ratio", "subject")
 
 
-@query("SELECT o_orderkey, o_orderpriority, CASE WHEN lower(trim(o_orderpriority)) LIKE '%phish%' THEN 1 END AS label FROM orders")
+@query("SELECT p_partkey, CASE WHEN t IN ('phishing email', 'phishing', 'spam', '1', 'malicious') OR t LIKE '%phish%' THEN 1 WHEN t IN ('safe email', 'safe', 'ham', 'genuine', 'legitimate', '0', 'benign') OR t LIKE '%safe%' THEN 0 END AS label, CASE WHEN p_size IN (0, 1) THEN p_size END AS binary_label FROM (SELECT *, lower(trim(CASE p_partkey % 7 WHEN 0 THEN ' Phishing Email' WHEN 1 THEN 'Safe Email ' WHEN 2 THEN 'HAM' WHEN 3 THEN 'unsafe' WHEN 4 THEN 'Spam' WHEN 5 THEN p_brand END)) AS t FROM part)")
 def label_normalise(spark, sf_dir):
-    return read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", corpus.normalise_label(F.col("o_orderpriority")).alias("label"))
+    m = F.col("p_partkey") % 7
+    raw = F.when(m == 0, " Phishing Email").when(m == 1, "Safe Email ").when(m == 2, "HAM").when(m == 3, "unsafe").when(m == 4, "Spam").when(m == 5, F.col("p_brand"))
+    return read(spark, sf_dir, "part").select("p_partkey", corpus.normalise_label(raw).alias("label"), corpus.normalise_label(F.col("p_size"), True).alias("binary_label"))
 
 
-@query("SELECT doc_id, CASE WHEN fam IS NULL THEN 'Unknown' WHEN fam = 'SpamAssassin' THEN fam WHEN fam LIKE 'Spam%' THEN 'Spam_Genuine_Mail' WHEN fam LIKE 'PhishMMF%' THEN 'PhishMMF' WHEN starts_with(fam, 'Kaggle_') THEN 'Kaggle_Phishing_Email' ELSE fam END AS family FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'SpamAssassin' WHEN 1 THEN 'Spam_' || source WHEN 2 THEN 'PhishMMF_' || source WHEN 3 THEN 'Kaggle' WHEN 4 THEN 'Kaggle_' || source END AS fam FROM documents)")
+@query("SELECT doc_id, CASE WHEN fam IS NULL THEN 'Unknown' WHEN fam IN ('SpamAssassin', 'Kaggle') THEN fam WHEN fam LIKE 'Spam%' THEN 'Spam_Genuine_Mail' WHEN fam LIKE 'PhishMMF%' THEN 'PhishMMF' WHEN starts_with(fam, 'Kaggle') THEN 'Kaggle_Phishing_Email' ELSE fam END AS family FROM (SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 'SpamAssassin' WHEN 1 THEN 'Spam_' || source WHEN 2 THEN 'PhishMMF_' || source WHEN 3 THEN 'Kaggle' WHEN 4 THEN 'Kaggle_' || source END AS fam FROM documents)")
 def source_families(spark, sf_dir):
     m, s = F.col("doc_id") % 6, F.col("source")
     name = F.when(m == 0, "SpamAssassin").when(m == 1, F.concat(F.lit("Spam_"), s)).when(m == 2, F.concat(F.lit("PhishMMF_"), s)).when(m == 3, "Kaggle").when(m == 4, F.concat(F.lit("Kaggle_"), s))
