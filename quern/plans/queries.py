@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.functions import urls as ux
-from quern.operators import audit, corpus, dedup, explain, history, metrics, sampling
+from quern.operators import audit, corpus, dedup, explain, history, metrics, sampling, scores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -501,3 +501,87 @@ def event_spans(spark, sf_dir):
 def legible_words(spark, sf_dir):
     w = read(spark, sf_dir, "benchmark").select(F.explode(tx.tokens(F.lower("text"))).alias("w"))
     return w.filter(tx.legible(F.col("w"))).groupBy(F.substring("w", 1, 1).alias("initial")).agg(F.count("*").alias("n"))
+
+
+# -- bands, encodings and orders ---------------------------------------------------------------------------------------
+@query(f"WITH {P} SELECT model, id, greatest(y_proba, 1 - y_proba) AS confidence, CASE WHEN greatest(y_proba, 1 - y_proba) >= 0.99::DOUBLE THEN 'very high' WHEN greatest(y_proba, 1 - y_proba) >= 0.95::DOUBLE THEN 'high' WHEN greatest(y_proba, 1 - y_proba) >= 0.8::DOUBLE THEN 'medium' ELSE 'low' END AS band, CASE WHEN y_proba >= 0.7::DOUBLE THEN 'positive' WHEN y_proba <= 0.3::DOUBLE THEN 'negative' ELSE 'uncertain' END AS result FROM predictions")
+def confidence_bands(spark, sf_dir):
+    p = F.col("y_proba")
+    return predictions(spark, sf_dir).select("model", "id", scores.confidence(p).alias("confidence"), scores.confidence_band(p).alias("band"), scores.result_band(p).alias("result"))
+
+
+@query(f"WITH {M}, {P} SELECT doc_id FROM messages m JOIN predictions p ON m.doc_id = p.id AND model = 'alpha' WHERE (y_proba >= 0.5)::INT = toxic AND length(text) BETWEEN 250 AND 1600 AND length(trim(coalesce(subject, ''))) > 0 AND (greatest(y_proba, 1 - y_proba) >= 0.99::DOUBLE OR greatest(y_proba, 1 - y_proba) BETWEEN 0.5::DOUBLE AND 0.95::DOUBLE) AND lang IN ('en', 'es')")
+def panel_candidates(spark, sf_dir):
+    p = predictions(spark, sf_dir).filter("model = 'alpha'").select(F.col("id").alias("doc_id"), "y_proba")
+    return scores.candidates(messages(spark, sf_dir).join(p, "doc_id"), "text", "subject", "y_proba", "toxic", "lang").select("doc_id")
+
+
+@query(f"WITH {M}, g AS (SELECT CASE WHEN length(text) < 60 THEN 'undetermined' WHEN lang = 'en' THEN 'en' WHEN lang IS NULL THEN 'undetermined' ELSE 'other' END AS grp, toxic FROM messages) SELECT grp, count(*) AS n, count(*) >= 30 AND count(DISTINCT toxic) = 2 AS evaluable FROM g GROUP BY grp")
+def language_groups(spark, sf_dir):
+    x = messages(spark, sf_dir).select(scores.language_group(F.col("text"), F.col("lang")).alias("grp"), "toxic")
+    return scores.evaluable(x, "grp", "toxic")
+
+
+@query("WITH b AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b FROM lineitem WHERE l_orderkey % 5 <> 0) SELECT l_orderkey, l_linenumber, least(greatest((l_quantity - a) / (b - a), 0.0::DOUBLE), 1.0::DOUBLE) AS scaled, CASE lower(trim(l_returnflag)) WHEN 'a' THEN 1 WHEN 'n' THEN 2 ELSE 0 END AS flag FROM lineitem, b")
+def scaled_and_indexed(spark, sf_dir):
+    x = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag")
+    r = x.filter("l_orderkey % 5 <> 0").agg(F.min("l_quantity").alias("a"), F.max("l_quantity").alias("b")).first()
+    return x.select("l_orderkey", "l_linenumber", scores.min_max(F.col("l_quantity"), F.lit(r.a), F.lit(r.b)).alias("scaled"), scores.category_index(F.col("l_returnflag"), ["a", "n"]).alias("flag"))
+
+
+@query(f"WITH {P} SELECT model, round(avg(-(CASE WHEN y_true = 1 THEN 0.25::DOUBLE ELSE 0.75::DOUBLE END) * pow(1 - q, 2) * ln(q)), 8) AS focal, round(avg(CASE WHEN y_true = 1 THEN -3.0::DOUBLE * ln(c) ELSE -ln(1 - c) END), 8) AS weighted FROM (SELECT *, greatest(CASE WHEN y_true = 1 THEN y_proba ELSE 1 - y_proba END, 1e-7::DOUBLE) AS q, least(greatest(y_proba, 1e-7::DOUBLE), 1 - 1e-7::DOUBLE) AS c FROM predictions) GROUP BY model")
+def losses(spark, sf_dir):
+    p, y = F.col("y_proba"), F.col("y_true")
+    return _r(predictions(spark, sf_dir).groupBy("model").agg(F.avg(scores.focal_loss(p, y)).alias("focal"), F.avg(scores.weighted_cross_entropy(p, y, 3.0)).alias("weighted")), focal=8, weighted=8)
+
+
+@query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) % 7 AS shard FROM documents")
+def stride_shards(spark, sf_dir):
+    return scores.shards(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 7)
+
+
+@query("SELECT doc_id, toxic, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) AS turn FROM labels")
+def interleaved_classes(spark, sf_dir):
+    return scores.interleaved(read(spark, sf_dir, "labels"), "toxic", "doc_id").select("doc_id", "toxic", F.col("turn").cast("long").alias("turn"))
+
+
+@query()
+def length_batches(spark, sf_dir):
+    return scores.length_batches(read(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", "n_chars", 16, "batch", 4)
+
+
+@query(f"WITH {P}, x AS (SELECT *, sum(1 - y_true) OVER (PARTITION BY model ORDER BY y_proba DESC, id) AS above FROM predictions) SELECT model, round(1 - sum(above) FILTER (y_true = 1) / (sum(y_true) * sum(1 - y_true))::DOUBLE, 9) AS auc FROM x GROUP BY model")
+def step_auc(spark, sf_dir):
+    return _r(scores.step_auc(predictions(spark, sf_dir)), auc=9)
+
+
+@query(r"WITH w AS (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+'), lambda w: w <> '')) AS w FROM documents), x AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[ \t\n\x0B\f\r]+')) AS w FROM benchmark WHERE item_id % 2 = 0) SELECT w, count(*) AS n FROM w WHERE w NOT IN (SELECT w FROM x) GROUP BY w ORDER BY n DESC, w LIMIT 25")
+def frequent_words(spark, sf_dir):
+    words = lambda t: read(spark, sf_dir, t[0]).filter(t[1]).select(F.explode(tx.tokens(F.lower("text"))).alias("w"))
+    return scores.frequent_words(words(("documents", "true")), "w", words(("benchmark", "item_id % 2 = 0")).distinct(), 25)
+
+
+@query("SELECT event_id, coalesce(nullif(json_extract_string(props, '$.missing.path'), ''), nullif(json_extract_string(props, '$.k'), '')) AS k FROM events")
+def json_fallback(spark, sf_dir):
+    first = lambda p: F.nullif(F.get_json_object("props", p), F.lit(""))
+    return read(spark, sf_dir, "events").select("event_id", F.coalesce(first("$.missing.path"), first("$.k")).alias("k"))
+
+
+@query("SELECT vec_id, round(exp((embedding[1] - list_max(embedding[1:4]))::DOUBLE) / list_sum(list_transform(embedding[1:4], lambda v: exp((v - list_max(embedding[1:4]))::DOUBLE))), 5) AS first FROM embeddings")
+def softmax_rows(spark, sf_dir):
+    v = F.transform(F.slice("embedding", 1, 4), lambda x: x.cast("double"))
+    return read(spark, sf_dir, "embeddings").select("vec_id", F.round(scores.softmax(v)[0], 5).alias("first"))
+
+
+@query("SELECT o_custkey, o_orderkey, year(o_orderdate)::INT AS y FROM orders WHERE o_orderdate >= TIMESTAMP '1994-01-01' AND o_orderdate < TIMESTAMP '1996-01-01'")
+def year_windows(spark, sf_dir):
+    o = read(spark, sf_dir, "orders")
+    return o.filter((F.col("o_orderdate") >= F.to_timestamp(F.lit("1994-01-01"))) & (F.col("o_orderdate") < F.to_timestamp(F.lit("1996-01-01")))).select("o_custkey", "o_orderkey", F.year("o_orderdate").alias("y"))
+
+
+@query(f"WITH {P} SELECT model, round(avg(((y_proba >= 0.5)::INT = y_true)::INT), 9) AS accuracy, rank() OVER (ORDER BY avg(((y_proba >= 0.5)::INT = y_true)::INT) DESC) AS place FROM predictions GROUP BY model")
+def leaderboard(spark, sf_dir):
+    from pyspark.sql import Window
+
+    x = predictions(spark, sf_dir).groupBy("model").agg(F.avg(((F.col("y_proba") >= 0.5).cast("int") == F.col("y_true")).cast("int")).alias("accuracy"))
+    return _r(x.withColumn("place", F.rank().over(Window.orderBy(F.desc("accuracy"))).cast("long")), accuracy=9)  # a row for each model
