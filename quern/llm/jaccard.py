@@ -106,7 +106,7 @@ DENSE = 64
 WORDS = 16
 _DOC = np.dtype([("doc", "<i8"), ("owner", "<i8"), ("n", "<i8")])
 #: Entries that a task holds before it sends them.
-HOLD = 3_000_000
+HOLD = 1_500_000
 
 
 def packed(e: np.ndarray) -> bytes:
@@ -317,9 +317,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     # buckets of several components: pairs across them
     labelled = left.join(small(labels), left.owner == labels.node, "left").select("key", "owner", F.coalesce("label", "owner").alias("label"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    rest = written(labelled.join(mixed, "key").join(small(sketches), "owner"), "mixed")
+    rest = written(labelled.join(mixed, "key"), "mixed")
+    keys = written(rest.groupBy("owner").agg(F.collect_set("key").alias("keys")), "keys")  # as many as a sketch has words
+    rest = written(rest.join(small(keys), "owner").join(small(sketches), "owner"), "mixed")
     a, b = rest.alias("a"), rest.alias("b")
-    across = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.owner") < F.col("b.owner")) & (F.col("a.label") != F.col("b.label")) & may_link("a", "b")).select(F.col("a.owner").alias("a"), F.col("b.owner").alias("b")).distinct()
+    once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")  # a pair is met in the first bucket that it shares
+    apart = (F.col("a.owner") < F.col("b.owner")) & (F.col("a.label") != F.col("b.label"))
+    across = written(a.join(b, (F.col("a.key") == F.col("b.key")) & apart & may_link("a", "b") & once).select(F.col("a.owner").alias("a"), F.col("b.owner").alias("b")).distinct(), "across")
     across = written(across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
     more = written(linked(across, sets), "edges")
     owners = classes.join(labels, classes.owner == labels.node, "left").select("owner", "doc", F.coalesce("label", "owner").alias("label"))
