@@ -5,7 +5,7 @@ Words are runs of 0-9, a-z (A-Z lower-cased) and characters beyond ASCII; a phra
 other. Labels: those of the phrases, and the lower-cased identifiers of each expression that parses.
 
 Defined results: null and empty texts have no words, no places, empty labels and score 0; whole texts are read,
-however long; repeated rows give equal rows; an expression that doesn't parse adds no label.
+however long, and each tag of a line; repeated rows give equal rows; an expression that doesn't parse adds no label.
 """
 
 from __future__ import annotations
@@ -93,7 +93,8 @@ def identifiers(polish: list[str]) -> list[str]:
 
 
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
-_TAGGED = re.compile(r"spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier\s*:?[ \t]*([^\r\n]*)", re.IGNORECASE | re.ASCII)
+_TAGGED = re.compile(r"(?<![0-9a-z\x80-\U0010ffff])spdx[^0-9a-z\x80-\U0010ffff]+license[^0-9a-z\x80-\U0010ffff]+identifier(?![0-9a-z\x80-\U0010ffff])\s*:?", re.IGNORECASE | re.ASCII)
+_BREAK = re.compile(r"[\r\n]")
 
 
 def automaton(base=BASE, phrases=PHRASES):
@@ -106,6 +107,14 @@ def automaton(base=BASE, phrases=PHRASES):
     return a
 
 
+def tagged_texts(text: str) -> Iterator[str]:
+    """What follows each tag, up to the end of its line or the next tag."""
+    found = list(_TAGGED.finditer(text))
+    for m, after in zip(found, [*(n.start() for n in found[1:]), len(text)], strict=True):
+        end = _BREAK.search(text, m.end(), after)
+        yield text[m.end() : end.start() if end else after]
+
+
 def scan_text(text: str | None, a, allowed=PERMISSIVE) -> dict:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_TABLE).split()
     flat = " " + b" ".join(words).decode("latin-1") + " "
@@ -123,8 +132,8 @@ def scan_text(text: str | None, a, allowed=PERMISSIVE) -> dict:
             n_base += 1
             first, last = seen if first is None else first, seen
     expressions, permitted = [], None
-    for m in _TAGGED.finditer(text) if tagged else ():
-        if polish := parse(m[1]):
+    for after in tagged_texts(text) if tagged else ():
+        if polish := parse(after):
             expressions.append(" ".join(polish))
             labels.update(identifiers(polish))
             permitted = granted(polish, allowed) if permitted is None else permitted and granted(polish, allowed)

@@ -225,6 +225,14 @@ def test_license_expressions(text, polish, granted):
     assert found["permitted"] is granted
 
 
+def test_license_tags_of_one_line():
+    tag = "SPDX-License-Identifier:"
+    found = licenses.scan_text(f"/* {tag} MIT */ code(); /* {tag} GPL-3.0-only OR {tag} ISC */ {tag}", licenses.automaton())
+    assert found["expressions"] == ["mit", "gpl-3.0-only", "isc"] and found["permitted"] is False and found["labels"] == "gpl-3.0-only,isc,mit"
+    many = licenses.scan_text(" ".join(f"{tag} x-{k} a{tag} no SPDX-License-Identifiers: no" for k in range(3000)), licenses.automaton())
+    assert many["expressions"] == [f"x-{k}" for k in range(3000)]
+
+
 # -- 7 -------------------------------------------------------------------------------------------------------------------
 def brute_repeats(rows):
     first = {}
