@@ -92,6 +92,23 @@ def owner_of(tokens: np.ndarray) -> int:
     return int(mix64(h).astype(np.int64)[0]) or 1
 
 
+def salted(tokens: np.ndarray, salt: int) -> np.ndarray:
+    """A set's tokens as they are in the group of that salt: sets of different groups share none."""
+    return np.sort(mix64(tokens ^ mix64(np.array([salt], np.int64).view(U64))))
+
+
+def set_rows(docs: DataFrame, text: str, id_col: str, within: str | None) -> DataFrame:
+    """doc, text and, if sets link within groups only, the group's salt."""
+    groups = [F.xxhash64(F.col(f"`{within}`")).alias("salt")] if within else []
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), *groups)
+
+
+def sets_of(h: Hasher, b: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """Token sets of a batch with text and maybe salt."""
+    sets = h.sets(b.column("text").to_pylist())
+    return map(salted, sets, b.column("salt").to_pylist()) if "salt" in b.schema.names else sets
+
+
 def runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First places and lengths of the runs of equal values."""
     first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(sorted_) else np.zeros(0, np.int64)
@@ -145,7 +162,7 @@ def met(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([e[~many], sub[lead]]), out
 
 
-def buckets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5) -> DataFrame:
+def buckets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, within: str | None = None) -> DataFrame:
     """Written rows of two kinds: doc (doc, owner, n) for each row of docs, and members (key, owner, band, least) of
     buckets with several owners, some of them more than once."""
     n_slices = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(docs) // (10 << 20)))
@@ -170,7 +187,7 @@ def buckets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
         h, seen, entries, of_docs, held = Hasher(width), set(), [], [], 0
         for b in batches:
             ids = b.column(0).to_pylist()
-            for i, tokens in zip(ids, h.sets(b.column(1).to_pylist()), strict=True):
+            for i, tokens in zip(ids, sets_of(h, b), strict=True):
                 owner = owner_of(tokens)
                 of_docs.append((i, owner, len(tokens)))
                 if len(tokens) and owner not in seen:
@@ -201,7 +218,7 @@ def buckets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
             "key": np.concatenate([rows["key"].astype(np.int64), none]), "band": np.concatenate([rows["band"].astype(np.int64), none]), "least": np.concatenate([rows["least"].astype(np.int64), none]), "times": np.concatenate([times, none]),
         })
 
-    x = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text}`")).filter(F.col(f"`{id_col}`").isNotNull())
+    x = set_rows(docs, text, id_col, within).filter("doc is not null")
     x = x.mapInArrow(spread, "slice int, kind int, blob binary").groupBy("slice")
     return written(x.applyInArrow(gather, "doc long, n long, owner long, key long, band long, least long, times long"), "jaccard-buckets")
 
@@ -226,16 +243,17 @@ def thinned(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 # -- tokens of candidates --------------------------------------------------------------------------------------------
-def token_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5) -> DataFrame:
+def token_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, within: str | None = None) -> DataFrame:
     """wanted (doc, owner): owner, its sorted tokens, their number n, and s0 to s15, the sketch of their single bits."""
-    x = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text")).join(small(wanted), "doc").select("owner", "text")
+    x = set_rows(docs, text, id_col, within).join(small(wanted), "doc")
+    x = x.select("owner", *[c for c in x.columns if c not in ("doc", "owner")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(width)
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 c = b.slice(a, 512)
-                s = [t.astype(np.int64) for t in h.sets(c.column(1).to_pylist())]
+                s = [t.astype(np.int64) for t in sets_of(h, c)]
                 cut = np.concatenate([[0], np.cumsum([len(t) for t in s])])
                 bits = np.zeros((len(s), WORDS * 64), np.uint8)
                 for k, t in enumerate(s):
@@ -298,14 +316,14 @@ def passing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return x.filter(may_link("p", "q")).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs with an id."""
-    found = buckets(docs, text, id_col, width)
+def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, within: str | None = None) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs with an id; rows link only with equal values of within."""
+    found = buckets(docs, text, id_col, width, within)
     of_docs = found.filter("n >= 0").select("doc", "n", "owner")
     members = found.filter("n < 0").select("key", "owner", "band", "least", "times")
     classes = of_docs.filter("n > 0").groupBy("owner").agg(F.min("doc").alias("doc"))
     candidates = written(members.groupBy("owner", "band", "least").agg(F.sum("times").alias("shared")).filter("shared >= least").select("owner").distinct(), "candidates")
-    sets = written(token_sets(docs, written(classes.join(small(candidates), "owner").select("doc", "owner"), "wanted"), text, id_col, width), "sets")
+    sets = written(token_sets(docs, written(classes.join(small(candidates), "owner").select("doc", "owner"), "wanted"), text, id_col, width, within), "sets")
     sketches = sets.drop("tokens")
     left = members.select("key", "owner").join(small(candidates), "owner")
     # stars: each member of a bucket with the bucket's first

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import fingerprint, shingles
+from quern.functions.text import fingerprint, shingles, word_count
 
 
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
@@ -35,9 +37,44 @@ def signatures(df: DataFrame, text: str, rows: int = 13, bands: int = 9, k: int
     return x.withColumn("bands", F.when(F.size("_hashes") > 0, made)).drop("_hashes")
 
 
-def campaigns(df: DataFrame, text: str, id_col: str, family: str, rounds: int = 50) -> DataFrame:
+def verified_campaigns(df: DataFrame, text: str, id_col: str, family: str, k: int = 5) -> DataFrame:
+    """id, family, cluster: the smallest id that links reach within the family; short texts are alone.
+
+    Texts link if their sets of k-word shingles have similarity 4/5 or more: every such pair is found, and none below.
+    Ids are whole numbers and unique.
+    """
+    from quern.llm.jaccard import near_duplicates
+
+    if df.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col} must be a whole number")
+    x = df.select(F.col(id_col).alias("id"), F.col(family).alias("family"), F.lower(F.col(text)).alias("text"))
+    found = near_duplicates(x.filter(word_count(F.col("text")) >= k), "text", "id", k, "family").select("id", "component_id")
+    out = x.select("id", "family").join(found, "id", "left")
+    return out.select(F.col("id").alias(id_col), F.col("family").alias(family), F.coalesce("component_id", "id").alias("cluster"))
+
+
+def agreement(found: DataFrame, true: DataFrame, id_col: str, family: str) -> DataFrame:
+    """family, true_pairs, found_pairs, both_pairs, recall, precision of the clusters ``found`` against ``true``.
+
+    A pair is two rows of one cluster; pairs are counted from the sizes of clusters and their overlaps, not made.
+    """
+    x = true.select(id_col, F.col(family).alias("family"), F.col("cluster").alias("t")).join(found.select(id_col, F.col("cluster").alias("f")), id_col)
+    cells = x.groupBy("family", "t", "f").agg(F.count("*").alias("n"))
+    pairs = lambda d, c: d.groupBy("family").agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias(c))
+    sides = [pairs(cells.groupBy("family", c).agg(F.sum("n").alias("n")), f"{name}_pairs") for c, name in (("t", "true"), ("f", "found"))]
+    out = pairs(cells, "both_pairs")
+    for side in sides:
+        out = out.withColumnRenamed("family", "_f").join(side, F.col("_f").eqNullSafe(F.col("family"))).drop("_f")
+    share = lambda c: F.when(F.col(c) > 0, F.col("both_pairs") / F.col(c)).alias("recall" if c == "true_pairs" else "precision")
+    return out.select("family", "true_pairs", "found_pairs", "both_pairs", share("true_pairs"), share("found_pairs"))
+
+
+def campaigns(df: DataFrame, text: str, id_col: str, family: str, rounds: int | None = None) -> DataFrame:
     """id, family, cluster: the smallest id that shared bands reach within the family; short texts are alone.
 
+    Nothing is verified: a pair at similarity 0.80 shares a band in 0.40 of the cases, one at 0.90 in 0.93, and some
+    below 0.80 do (``agreement`` counts both). Labels travel until they settle; more than ``rounds``, if given, raise.
+
     Members of a band meet its smallest member, not each other. Labels travel along (band, id) memberships: each round
     is two aggregations that combine map-side, whatever a band's size. The lineage is cut with checkpoint().
     """
@@ -52,7 +89,9 @@ def campaigns(df: DataFrame, text: str, id_col: str, family: str, rounds: int =
     members = members.select("id", "family", F.when(F.col("value").isNotNull(), F.xxhash64("family", "band", "value")).alias("key")).checkpoint()
     labels = members.select("id", "family").distinct().withColumn("cluster", F.col("id")).checkpoint()
     linked = members.filter("key is not null").select("id", "key")
-    for _ in range(rounds):
+    for turn in count():
+        if turn == rounds:
+            raise RuntimeError(f"labels have not settled after {rounds} rounds")
         least = linked.join(labels, "id").groupBy("key").agg(F.min("cluster").alias("least"))
         near = linked.join(least, "key").groupBy("id").agg(F.min("least").alias("near"))
         new = labels.join(near, "id", "left").select("id", "family", "cluster", F.least("cluster", "near").alias("new"))

@@ -191,9 +191,19 @@ def exact_dedup(spark, sf_dir):
 
 @query()
 def near_dup_campaigns(spark, sf_dir):
+    return dedup.verified_campaigns(read(spark, sf_dir, "documents"), "text", "doc_id", "source")
+
+
+@query()
+def near_dup_banded(spark, sf_dir):
     return dedup.campaigns(read(spark, sf_dir, "documents"), "text", "doc_id", "source")
 
 
+@query()
+def near_dup_recall(spark, sf_dir):
+    return dedup.agreement(near_dup_banded(spark, sf_dir), near_dup_campaigns(spark, sf_dir), "doc_id", "source")
+
+
 @query(f"SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY {_KEY.format(seed='sample', c='doc_id')}, doc_id) AS r FROM documents) WHERE r <= 20")
 def per_source_sample(spark, sf_dir):
     return sampling.per_group(read(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id", 20, "sample")

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +65,29 @@ def test_campaigns(spark):
     assert {r.id: r.cluster for r in got} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 6}
 
 
+def test_campaigns_lose_no_link(spark):
+    """40 pairs at 45/55 link, 40 at 40/60 don't, and families stay apart; the banded form loses pairs, and says so."""
+    rows, want = [], {}
+    for p in range(80):
+        w = [f"w{p}x{k}" for k in range(54)]
+        changed = [f"{x}É" if k == 20 or (p >= 40 and k == 30) else x for k, x in enumerate(w)]
+        rows += [(3 * p, " ".join(w).upper(), "f"), (3 * p + 1, "\n".join(changed), "f"), (3 * p + 2, " ".join(w), "g" if p % 2 else None)]
+        want |= {3 * p: 3 * p, 3 * p + 1: 3 * p + (p >= 40), 3 * p + 2: 3 * p + 2}
+    rows += [(1000, "a b c d", "f"), (1001, "a b c d", "f"), (1002, None, "f")]
+    want |= {i: i for i in (1000, 1001, 1002)}
+    df = spark.createDataFrame(rows, "id long, t string, fam string")
+    true = dedup.verified_campaigns(df, "t", "id", "fam")
+    assert {r.id: r.cluster for r in true.collect()} == want and Counter((r.id, r.fam) for r in true.collect()) == Counter((i, f) for i, _, f in rows)
+    banded = dedup.campaigns(df, "t", "id", "fam")
+    label = {r.id: r.cluster for r in banded.collect()}
+    both = sum(label[3 * p] == label[3 * p + 1] for p in range(40))
+    got = {r.family: r for r in dedup.agreement(banded, true, "id", "fam").collect()}
+    assert (got["f"].true_pairs, got["f"].both_pairs, got["f"].recall) == (40, both, both / 40) and 0 < both < 40
+    assert got["g"].true_pairs == got[None].true_pairs == 0 and got["g"].recall is None
+    with pytest.raises(RuntimeError):
+        dedup.campaigns(df, "t", "id", "fam", rounds=1)
+
+
 def test_keep_first_is_idempotent(spark):
     df = spark.createDataFrame([(1, "A  b"), (2, "a b"), (3, "c")], "id long, t string")
     once = dedup.keep_first_text(df, "t", "id")
