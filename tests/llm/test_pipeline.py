@@ -1,12 +1,13 @@
 """The pipeline's stages on the smallest tables, and the queries against their SQL."""
 
+import hashlib
 import os
 
 import duckdb
 import pytest
 
 import corpus_pipeline
-from quern.llm import queries
+from quern.llm import pieces, queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -20,6 +21,25 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count() > 0
 
 
+def test_sampled_pieces(spark):
+    """All of K segmentations of each row, repeated rows too, and what they decode to; batches end within a row's."""
+    texts = [(k % 17, f"some words of text number {k % 17}, and more") for k in range(40)] + [(99, ""), (98, None), (97, "é😀 日本")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got = corpus_pipeline.sampled_pieces(spark, docs, SF).collect()
+        want = {(r.doc_id, r.sample): (r.ids, r.log_prob, r.log_inclusion) for r in pieces.encode(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(r.doc_id for r in got) == sorted(i for i, _ in texts)
+    for r in got:
+        assert [s.sample for s in r.samples] == ([1] if r.doc_id in (98, 99) else [1, 2]) and len({tuple(s.ids) for s in r.samples}) == len(r.samples)
+        for s in r.samples:
+            ids, *logs = want[r.doc_id, s.sample]
+            assert s.ids == ids and [s.log_prob, s.log_inclusion] == pytest.approx(logs)
+            assert s.decoded_sha256 == hashlib.sha256((dict(texts)[r.doc_id] or "").encode()).hexdigest()
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
