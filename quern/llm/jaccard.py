@@ -18,7 +18,8 @@ no step makes all pairs of a group of copies. A map task meets the members of a
 sends only that on, so a hot bucket sends one entry from each task. What is broadcast is counted first (``small``).
 
 Defined results: null and empty texts, or texts of white space, have n_shingles 0 and link with nothing; a text with
-fewer words than a shingle is one shingle; rows with equal ids are one node for components; extra columns are left out.
+fewer words than a shingle is one shingle; sets, not ids, are the nodes of components, so rows with equal ids and
+different sets are apart unless these link; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quern.llm.common import estimated_bytes, mix64, small, unused, written
 from quern.llm.shingles import Hasher
@@ -244,7 +246,10 @@ def thinned(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # -- tokens of candidates --------------------------------------------------------------------------------------------
 def token_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, within: str | None = None) -> DataFrame:
-    """wanted (doc, owner): owner, its sorted tokens, their number n, and s0 to s15, the sketch of their single bits."""
+    """wanted (doc, owner): owner, its sorted tokens, their number n, and s0 to s15, the sketch of their single bits.
+
+    Other rows with the doc's id have other owners, and go.
+    """
     x = set_rows(docs, text, id_col, within).join(small(wanted), "doc")
     x = x.select("owner", *[c for c in x.columns if c not in ("doc", "owner")])
 
@@ -253,13 +258,14 @@ def token_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", id_col: s
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 c = b.slice(a, 512)
-                s = [t.astype(np.int64) for t in sets_of(h, c)]
+                own = [(o, t.astype(np.int64)) for o, t in zip(c.column(0).to_pylist(), sets_of(h, c), strict=True) if owner_of(t) == o]
+                s = [t for _, t in own]
                 cut = np.concatenate([[0], np.cumsum([len(t) for t in s])])
                 bits = np.zeros((len(s), WORDS * 64), np.uint8)
                 for k, t in enumerate(s):
                     bits[k] = np.bincount(t & (WORDS * 64 - 1), minlength=WORDS * 64) & 1
                 words = np.packbits(bits, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *s]))), pa.array(np.diff(cut), pa.int64()), *(pa.array(words[:, k]) for k in range(WORDS))], names=["owner", "tokens", "n", *_SKETCH])
+                yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in own], pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *s]))), pa.array(np.diff(cut), pa.int64()), *(pa.array(words[:, k]) for k in range(WORDS))], names=["owner", "tokens", "n", *_SKETCH])
 
     return x.mapInArrow(run, "owner long, tokens array<long>, n long, " + ", ".join(f"{c} long" for c in _SKETCH))
 
@@ -318,12 +324,21 @@ def passing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, within: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs with an id; rows link only with equal values of within."""
+    out = linked_rows(docs, text, id_col, width, within)
+    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("head.doc").alias("component_id"))
+
+
+def linked_rows(docs: DataFrame, text: str, id_col: str, width: int, within: str | None = None) -> DataFrame:
+    """doc, owner, n and head for each row of docs with an id; head is the smallest (doc, owner) of its component."""
     found = buckets(docs, text, id_col, width, within)
     of_docs = found.filter("n >= 0").select("doc", "n", "owner")
     members = found.filter("n < 0").select("key", "owner", "band", "least", "times")
     classes = of_docs.filter("n > 0").groupBy("owner").agg(F.min("doc").alias("doc"))
     candidates = written(members.groupBy("owner", "band", "least").agg(F.sum("times").alias("shared")).filter("shared >= least").select("owner").distinct(), "candidates")
-    sets = written(token_sets(docs, written(classes.join(small(candidates), "owner").select("doc", "owner"), "wanted"), text, id_col, width, within), "sets")
+    wanted = written(classes.join(small(candidates), "owner").select("doc", "owner"), "wanted")
+    sets = written(token_sets(docs, wanted, text, id_col, width, within), "sets")
+    if sets.count() > wanted.count():  # rows with equal ids and equal sets
+        sets = written(sets.dropDuplicates(["owner"]), "sets")
     sketches = sets.drop("tokens")
     left = members.select("key", "owner").join(small(candidates), "owner")
     # stars: each member of a bucket with the bucket's first
@@ -350,21 +365,41 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         between = more.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
         again = components(between).select(F.col("node").alias("label"), F.col("label").alias("root"))
         owners = owners.join(again, "label", "left").select("owner", "doc", F.coalesce("root", "label").alias("label"))
-    heads = owners.groupBy("label").agg(F.min("doc").alias("component"))
-    named = owners.join(heads, "label").select("owner", "component")
-    out = of_docs.join(named, "owner", "left")
-    return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+    heads = owners.groupBy("label").agg(F.min(F.struct("doc", "owner")).alias("head"))
+    named = owners.join(heads, "label").select("owner", "head")
+    return of_docs.join(named, "owner", "left").select("doc", "owner", "n", F.coalesce("head", F.struct("doc", "owner")).alias("head"))
+
+
+def with_owner(docs: DataFrame, column: str, text: str, width: int) -> DataFrame:
+    """docs with the owner of each row's set."""
+    of_text = [f.name.lower() for f in docs.schema.fields].index(text.lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h = Hasher(width)
+        for b in batches:
+            yield b.append_column(column, pa.array([owner_of(t) for t in h.sets(b.column(of_text).to_pylist())], pa.int64()))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, LongType())]))
 
 
 def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5) -> DataFrame:
     """The rows of docs, all columns as they are, without those that link, by way of others or not, with a smaller id.
 
-    Of rows with equal ids one stays; rows without an id stay.
+    Rows without an id stay. Rows with equal ids are told apart by their sets: of those with equal sets the first by
+    all columns stays, and of those that link the one with the smallest owner.
     """
-    found = near_duplicates(docs, text, id_col, width)
+    found = written(linked_rows(docs, text, id_col, width).select("doc", "owner", (F.struct("doc", "owner") != F.col("head")).alias("goes")), "found")
     mark = unused(docs, "_gone")
-    gone = written(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(mark)).distinct(), "gone")
     number = F.col(f"`{id_col}`").cast("long")
-    if not docs.groupBy(number.alias("i")).agg(F.count("*").alias("n")).filter("i is not null and n > 1").isEmpty():
-        docs = docs.filter(number.isNull()).unionByName(docs.filter(number.isNotNull()).dropDuplicates([id_col]))
-    return docs.join(small(gone), number == F.col(mark), "left_anti")
+    gone = found.filter("goes").select(F.col("doc").alias(mark), F.col("owner").alias(f"{mark}_owner")).distinct()
+    clashing = written(found.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc").alias(mark)), "clashing")
+    if clashing.isEmpty():
+        return docs.join(small(written(gone.select(mark), "gone")), number == F.col(mark), "left_anti")
+    clash = small(clashing)
+    alone = docs.join(clash, number == F.col(mark), "left_anti")
+    alone = alone.join(small(written(gone.select(mark).join(clash, mark, "left_anti"), "gone")), number == F.col(mark), "left_anti")
+    own, whole = unused(docs, "_owner"), F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    each = with_owner(docs.join(clash, number == F.col(mark), "left_semi"), own, text, width)
+    each = each.join(small(written(gone.join(clash, mark, "left_semi"), "gone")), (number == F.col(mark)) & (F.col(own) == F.col(f"{mark}_owner")), "left_anti")
+    first = each.groupBy(number.alias("i"), F.col(own).alias("o")).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return alone.unionByName(first.select("row.*"))

@@ -132,6 +132,21 @@ def test_jaccard_chains(spark):
     assert {x.doc_id: x.component_id for x in jaccard.near_duplicates(df).collect()} == want
 
 
+def test_jaccard_clashing_ids(spark):
+    """Rows with one id and different texts: a copy goes, a clean text stays, and neither has the other's links."""
+    near = prose(31).split()
+    near[30] = "changed"
+    rows = [(1, prose(31)), (2, prose(32)), (7, prose(31)), (7, prose(33)), (7, prose(33)), (8, " ".join(near)), (8, prose(34)), (9, prose(34)), (9, None), (9, ""), (6, prose(35)), (6, prose(35) + " end"), (None, prose(31))]
+    df = spark.createDataFrame([row(i, t) for i, t in rows], SCHEMA)
+    kept = [sorted(((r.doc_id, r.text) for r in jaccard.first_of_each(df.repartition(n)).collect()), key=str) for n in (1, 5)]
+    assert kept[0] == kept[1] and len(kept[0]) == 7
+    six = [t for i, t in kept[0] if i == 6]
+    assert six in ([prose(35)], [prose(35) + " end"])
+    assert {(i, t or "") for i, t in kept[0] if i != 6} == {(1, prose(31)), (2, prose(32)), (7, prose(33)), (8, prose(34)), (9, ""), (None, prose(31))}
+    of = Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(df).collect())
+    assert of == Counter({(1, 1): 1, (2, 2): 1, (7, 1): 1, (7, 7): 2, (8, 1): 1, (8, 8): 1, (9, 8): 1, (9, 9): 2, (6, 6): 2})
+
+
 # -- 4 -------------------------------------------------------------------------------------------------------------------
 def test_pieces(docs, empty, texts):
     e = pieces.encode(docs, k=3)
