@@ -8,8 +8,8 @@ list in one place. All steps are DataFrame operations; document frequencies are
 
 The lexicon is broadcast only if it has at most BROADCAST terms; beyond that it is joined by a shuffle.
 
-Defined results: null is empty; a text without terms in the band is hashed over all its terms, and one without terms
-has an empty fingerprint; equal texts have equal fingerprints; documents follow each other by (id, hash of the text),
+Defined results: null is empty; a text without terms in the band is hashed over all its terms, one whose terms in the
+band are in no subset over those in the band, and one without terms has an empty fingerprint; equal texts have equal fingerprints; documents follow each other by (id, hash of the text),
 null ids first, the first after the last; rows with equal id and text have the same result each.
 """
 
@@ -24,6 +24,8 @@ from quern.llm.common import release, written
 BAND = (0.25, 0.85)
 RATES = (2, 5, 8, 11)
 COPIES = 8
+#: Subsets with a member that a rate must have to be heard beside the densest rate.
+LEAST = 5
 BROADCAST = 1_000_000
 _BITS = (1 << 40) - 1
 
@@ -63,18 +65,22 @@ def fingerprints(rows: DataFrame, lex: DataFrame, keys: list[str], times: str, t
         marked = F.broadcast(marked)
     x = x.join(marked, "term", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
     x = x.groupBy(*keys).agg(*_sums(F.col(times)))
-    value = lambda c: F.when(F.col("within").isNull(), F.col("whole")).otherwise(F.col(c)) / F.col(times)
+    none = F.coalesce(*[F.col(f"s{RATES[0]}_{c}") for c in range(COPIES)]).isNull()  # a member at another rate is one at the first
+    value = lambda c: F.when(F.col("within").isNull(), F.col("whole")).when(none, F.col("within")).otherwise(F.col(c)) / F.col(times)
     return x.select(*keys, F.array(*[value(f"s{b}_{c}").cast("long") for b, c in _slots()]).alias("print"))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Of the rates, the largest share of subsets that agree among those with a member in either text; 1 if all agree."""
+    """Of the rates, the largest share of subsets that agree among those with a member in either text; 1 if all agree.
+
+    Besides the first, the densest, only rates with LEAST such subsets count: one term is no evidence.
+    """
     shares = []
     for k in range(len(RATES)):
         x, y = (F.slice(v, k * COPIES + 1, COPIES) for v in (a, b))
         both = F.size(F.filter(F.zip_with(x, y, lambda p, q: p == q), lambda e: e))
         either = F.size(F.filter(F.zip_with(x, y, lambda p, q: p.isNotNull() | q.isNotNull()), lambda e: e))
-        shares.append(F.when(either > 0, both / either).otherwise(F.lit(0.0)))
+        shares.append(F.when(either >= (LEAST if k else 1), both / either).otherwise(F.lit(0.0)))
     return F.when(as_text(a) == as_text(b), F.lit(1.0)).otherwise(F.greatest(*shares))
 
 

@@ -316,6 +316,18 @@ def test_prints(spark, docs, empty):
     assert alone.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and alone.near_next == 1.0
 
 
+def test_prints_of_few_terms(spark):
+    """Texts of one term differ, and one term that two long texts share does not make them equal."""
+    words = spark.createDataFrame([(k, w, 1) for k, w in enumerate(WORDS)], "id int, text string, times int")
+    lex = prints.lexicon(words.select("text"), band=(0, 1))
+    own = [tuple(r.print) for r in prints.fingerprints(words, lex, ["id", "times"], "times").collect()]
+    assert len(own) == len(set(own)) == len(WORDS)
+    a, b = [*range(8), *range(10, 18), *[None] * 15, 99], [*range(20, 28), *range(30, 38), *[None] * 15, 99]
+    same, few = [*range(8), *range(30, 38), *[None] * 16], [1, None, 2, *[None] * 29]
+    x = spark.createDataFrame([(a, b), (a, same), (few, [1, None, 3, *[None] * 29]), (few, few)], "a array<long>, b array<long>")
+    assert [r[0] for r in x.coalesce(1).select(prints.likeness(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0, 0.5, 1.0]
+
+
 # -- 9 -------------------------------------------------------------------------------------------------------------------
 def pages(spark):
     rows = [(1, "http://a/", "<p>x</p>"), (2, "http://b/é ü\n", "<p>x</p>"), (3, None, None), (4, "u", ""), (5, "u", "<b>é</b>" * 50_000), (6, "u", "\x1f WARC/1.1 \r\n\r\n"), (6, "u", "\x1f WARC/1.1 \r\n\r\n"), (None, "u", "no id")]
