@@ -106,10 +106,21 @@ def equal_mass(df: DataFrame, group: str, id_col: str, draws: int, seed: str) ->
     sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
     sizes = sizes.withColumn("_k", F.count("*").over(Window.partitionBy()))  # a row for each group
     x = df.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).withColumn("_m", F.lit(float(draws)) / (F.col("_k") * F.col("_n")))
-    u = (F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    # inverse of the Poisson distribution function: terms of the sum up to 60, beyond which no mean here reaches
-    steps = F.aggregate(F.sequence(F.lit(0), F.lit(60)), F.struct(F.exp(-F.col("_m")).alias("p"), F.exp(-F.col("_m")).alias("c"), F.lit(0).alias("n")), lambda a, i: F.struct((a["p"] * F.col("_m") / (i + 1)).alias("p"), (a["c"] + a["p"] * F.col("_m") / (i + 1)).alias("c"), (a["n"] + (u > a["c"]).cast("int")).alias("n")))
-    return x.withColumn("times", steps["n"]).filter("times > 0").drop("_g", "_n", "_k", "_m")
+    # a mean beyond 500 is a sum of equal parts, each with a hash of its own, so exp(-part) does not vanish
+    parts = F.greatest(F.ceil(F.col("_m") / 500), F.lit(1)).cast("int")
+    part = F.col("_m") / parts
+    last = F.ceil(part + 12 * F.sqrt(part) + 20).cast("int")  # no number of draws lies beyond, at 2^-40
+
+    def drawn(j: Column) -> Column:
+        """Inverse of the Poisson distribution function, by summing its terms."""
+        h = F.when(j == 0, F.xxhash64(id_col, F.lit(seed))).otherwise(F.xxhash64(id_col, F.lit(seed), j))
+        u = (F.pmod(h, F.lit(1 << 40)) + 0.5) / float(1 << 40)
+        start = F.struct(F.exp(-part).alias("p"), F.exp(-part).alias("c"), F.lit(0).alias("n"), u.alias("u"))
+        step = lambda a, i: F.struct((a["p"] * part / (i + 1)).alias("p"), (a["c"] + a["p"] * part / (i + 1)).alias("c"), (a["n"] + (a["u"] > a["c"]).cast("int")).alias("n"), a["u"].alias("u"))
+        return F.aggregate(F.sequence(F.lit(0), last), start, step)["n"]
+
+    times = F.aggregate(F.sequence(F.lit(0), parts - 1), F.lit(0), lambda n, j: n + drawn(j))
+    return x.withColumn("times", times).filter("times > 0").drop("_g", "_n", "_k", "_m")
 
 
 def shuffled_options(options: Column, correct: Column, question: Column) -> Column:

@@ -189,6 +189,24 @@ def test_samples(spark):
     assert sorted(r) == list("abcd") and r[0] != "a"
 
 
+def test_equal_mass_of_rare_groups(spark):
+    """Groups of one row: means of 100 and 2,000 draws are reached, and small means draw as the plain sum does."""
+    import numpy as np
+
+    df = spark.range(200).select("id", F.col("id").cast("string").alias("g"))
+    for mean in (100, 2000):
+        got = np.array([r.times for r in sampling.equal_mass(df, "g", "id", 200 * mean, "s").collect()])
+        assert len(got) == 200 and abs(got.mean() - mean) < 5 * (mean / 200) ** 0.5 and got.std() == pytest.approx(mean**0.5, rel=0.25)
+    one = spark.range(1000).select("id", F.lit("g").alias("g"), (F.pmod(F.xxhash64("id", F.lit("s")), F.lit(1 << 40)) + 0.5).alias("u"))
+    for r in sampling.equal_mass(one, "g", "id", 2000, "s").collect():
+        c, p, n = math.exp(-2), math.exp(-2), 0
+        while r.u / (1 << 40) > c:
+            n += 1
+            p *= 2 / n
+            c += p
+        assert r.times == n
+
+
 def test_equivalence(spark):
     df = spark.range(400).select("id", F.lit(1).alias("y"), F.lit(0.9).alias("a"), F.when(F.col("id") < 100, 0.1).otherwise(0.9).alias("b"))
     same = metrics.within(df, "a", "a", "y").first()
