@@ -55,8 +55,13 @@ def predict(model: PipelineModel, df: DataFrame, name: str, id_col: str, label:
 
 
 def by_fold(pipeline: Pipeline, df: DataFrame, fold: str, name: str, id_col: str, label: str, most: int = 100) -> DataFrame:
-    """Predictions of each fold from a model fitted on the others; folds whose training side has one class are left out."""
-    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).limit(most).collect()]
+    """Predictions of each fold from a model fitted on the others; folds whose training side has one class are left out.
+
+    A model is fitted for each fold; more folds than ``most`` raise.
+    """
+    folds = [r[0] for r in df.select(fold).distinct().orderBy(fold).limit(most + 1).collect()]
+    if len(folds) > most:
+        raise ValueError(f"more than {most} folds: pass a larger most to fit a model for each")
     out = None
     for f in folds:
         train = df.filter(F.col(fold) != f)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import text as tx
 from quern.functions import urls as ux
-from quern.operators import corpus, dedup, explain, history, metrics, sampling
+from quern.operators import corpus, dedup, explain, history, metrics, models, sampling
 from quern.sources import mail, sinks
 
 
@@ -158,6 +158,14 @@ def test_models(spark):
     assert metrics.confusion(models.predict(m, df, "text", "id", "y")).first().f1 == 1.0
 
 
+def test_too_many_folds_raise(spark):
+    df = spark.range(8).select("id", (F.col("id") % 4).alias("source"), F.lit(1).alias("y"))
+    with pytest.raises(ValueError, match="more than 3 folds"):
+        models.by_fold(None, df, "source", "x", "id", "y", most=3)
+    with pytest.raises(ValueError, match="no fold"):  # one class only
+        models.by_fold(None, df, "source", "x", "id", "y", most=4)
+
+
 def test_streams(spark, tmp_path):
     from quern.streaming import monitor
 
