@@ -1,49 +1,17 @@
-"""What the operators share: the shared folder, written intermediate tables, and size estimates."""
+"""What the operators share beside the intermediate tables: sizes, letters and hashes."""
 
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+from quern.tables import Scratch, estimated_bytes, fresh_path, shared_dir, small, unused, written
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own in local mode only."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-    if "dir" not in _OWN:
-        _OWN["dir"] = "file://" + tempfile.mkdtemp(prefix="quern-")
-    return _OWN["dir"]
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def unused(df: DataFrame, name: str) -> str:
-    """A column name that df doesn't have."""
-    have = {c.lower() for c in df.columns}
-    while name.lower() in have:
-        name += "_"
-    return name
+__all__ = ["Scratch", "ascii_lower", "estimated_bytes", "fresh_path", "mix64", "shared_dir", "small", "table", "unused", "written"]
 
 
 def release(spark: SparkSession) -> None:
@@ -54,21 +22,6 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.5)
 
 
-def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """A written table, marked for broadcast if it has at most so many rows; else joins shuffle it."""
-    return F.broadcast(df) if df.count() <= rows else df
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """What a plan reads, by the size of its sources; runs no job, unless a source's size isn't known to Spark."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    total = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
-    if total < 1 << 50:
-        return total
-    texts = [F.sum(F.octet_length(F.col(f"`{f.name}`"))) for f in df.schema.fields if f.dataType.simpleString() in ("string", "binary")]
-    return sum(x or 0 for x in df.agg(F.count("*"), *texts).first())
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

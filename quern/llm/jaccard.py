@@ -6,20 +6,18 @@ b tokens with similarity 4/5 or more differ in at most (a + b) / 9 tokens; in a
 D = 2 (U - 1) // 9, so of P > D words at least P - D agree: a join on (band, place, word) finds every pair. Of a set's
 w words that hold tokens at least w - D agree, so a set with fewer partners' words than that has no link.
 
-Copies share one owner, a hash of the set; owners, not documents, are joined. Then, all exact:
-
-1. buckets of equal sketch words (``buckets``); an owner that shares fewer words than a link needs goes;
-2. each bucket's members are met by its first one (a star), not by each other; what links is merged (``components``);
-3. in buckets that still hold several components, members of different components are met.
-
-Before sets are fetched and counted, a pair must pass the same bound on a parity sketch of 1024 single bits: more than
-(a + b) / 9 differing bits rule it out. Both bounds are exact, so links between different texts are lost in none, and
-no step makes all pairs of a group of copies. A map task meets the members of a bucket by their first one at once and
-sends only that on, so a hot bucket sends one entry from each task. What is broadcast is counted first (``small``).
+Copies share one owner, a hash of the set; owners, not documents, are joined. A bucket is the owners with one sketch
+word at one place; how buckets lead to links and components, all of them exact, is told in ``quern.operators.links``:
+an owner that shares fewer words than a link needs goes; members of a bucket are met by one of them (stars) until this
+merges little; then members of different components are met, a bound on sketches of single bits before any set is
+fetched. No step makes all pairs of a group of copies. A map task meets the members of a bucket by their first one at
+once and sends only that on, so a hot bucket sends one entry from each task. What is broadcast is measured first.
 
 Defined results: null and empty texts, or texts of white space, have n_shingles 0 and link with nothing; a text with
 fewer words than a shingle is one shingle; sets, not ids, are the nodes of components, so rows with equal ids and
-different sets are apart unless these link; extra columns are left out.
+different sets are apart unless these link; a row with a null id (or one that is no whole number) has a null id, and as
+component the smallest id that links with it, null if there is none; repeated rows give equal rows; an empty table gives
+an empty result; whole texts count, however long, in slices; extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -32,8 +30,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quern.llm.common import estimated_bytes, mix64, small, unused, written
+from quern.llm.common import Scratch, estimated_bytes, mix64, small, unused
 from quern.llm.shingles import Hasher
+from quern.operators.links import SKETCH, WORDS, connected, resolved
 
 RATIO = 1.25
 U64 = np.uint64
@@ -102,7 +101,7 @@ def salted(tokens: np.ndarray, salt: int) -> np.ndarray:
 def set_rows(docs: DataFrame, text: str, id_col: str, within: str | None) -> DataFrame:
     """doc, text and, if sets link within groups only, the group's salt."""
     groups = [F.xxhash64(F.col(f"`{within}`")).alias("salt")] if within else []
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), *groups)
+    return docs.select(F.col(f"`{id_col}`").try_cast("long").alias("doc"), F.col(f"`{text}`").alias("text"), *groups)
 
 
 def sets_of(h: Hasher, b: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -121,9 +120,8 @@ def runs(sorted_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _ENTRY = np.dtype([("key", "<u8"), ("owner", "<i8"), ("least", "<u2"), ("band", "u1"), ("met", "u1")])
 #: Of the buckets with the same members in a share 1 / DENSE of the keys one is kept, with their number.
 DENSE = 64
-#: 64-bit words of the sketch of single bits.
-WORDS = 16
-_DOC = np.dtype([("doc", "<i8"), ("owner", "<i8"), ("n", "<i8")])
+#: What is known of a row: place (its id, or a hash of its text if it has none), owner, size, whether it has an id.
+_DOC = np.dtype([("place", "<i8"), ("owner", "<i8"), ("n", "<i8"), ("named", "?")])
 #: Entries that a task holds before it sends them.
 HOLD = 1_500_000
 
@@ -164,16 +162,21 @@ def met(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([e[~many], sub[lead]]), out
 
 
+def placed(rows: DataFrame) -> DataFrame:
+    """set_rows with place: the id, or a hash of the text where there is none."""
+    return rows.withColumn("place", F.coalesce("doc", F.xxhash64("text")))
+
+
 def buckets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, within: str | None = None) -> DataFrame:
-    """Written rows of two kinds: doc (doc, owner, n) for each row of docs, and members (key, owner, band, least) of
-    buckets with several owners, some of them more than once."""
+    """Rows of two kinds: place, owner, n, named for each row of docs, and members (key, owner, band, least, times) with
+    n = -1 of buckets with several owners, some of them more than once."""
     n_slices = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-estimated_bytes(docs) // (10 << 20)))
 
-    def send(entries: list[np.ndarray], of_docs: list[tuple[int, int, int]]) -> Iterator[pa.RecordBatch]:
+    def send(entries: list[np.ndarray], of_docs: list[tuple[int, int, int, bool]]) -> Iterator[pa.RecordBatch]:
         go, settled = met(np.concatenate(entries)) if entries else (np.zeros(0, _ENTRY), np.zeros(0, _ENTRY))
         d = np.array(of_docs, _DOC)
         out = {}
-        for kind, rows, by in ((0, go, go["key"]), (1, settled, settled["owner"].view("<u8")), (2, d, mix64(d["doc"].astype("<u8")))):
+        for kind, rows, by in ((0, go, go["key"]), (1, settled, settled["owner"].view("<u8")), (2, d, mix64(d["place"].astype("<u8")))):
             # the slice comes from the key's high bits, for owners by way of a further mix
             to = (((mix64(by) >> U64(32)) * U64(n_slices)) >> U64(32)).astype(np.int64)
             order = np.argsort(to, kind="stable")
@@ -188,10 +191,10 @@ def buckets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, seen, entries, of_docs, held = Hasher(width), set(), [], [], 0
         for b in batches:
-            ids = b.column(0).to_pylist()
-            for i, tokens in zip(ids, sets_of(h, b), strict=True):
+            named, places = b.column("doc").is_valid().to_pylist(), b.column("place").to_pylist()
+            for i, known, tokens in zip(places, named, sets_of(h, b), strict=True):
                 owner = owner_of(tokens)
-                of_docs.append((i, owner, len(tokens)))
+                of_docs.append((i, owner, len(tokens), known))
                 if len(tokens) and owner not in seen:
                     seen.add(owner)
                     for band, least, keys in keys_of(tokens):
@@ -216,13 +219,12 @@ def buckets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
         d = np.concatenate([np.zeros(0, _DOC), *(np.frombuffer(x, _DOC) for q, x in zip(kinds, blobs, strict=True) if q == 2)])
         none, zero = np.zeros(len(d), np.int64), np.zeros(len(rows), np.int64)
         return pa.table({
-            "doc": np.concatenate([zero, d["doc"]]), "n": np.concatenate([zero - 1, d["n"]]), "owner": np.concatenate([rows["owner"], d["owner"]]),
+            "place": np.concatenate([zero, d["place"]]), "named": np.concatenate([zero > 0, d["named"]]), "n": np.concatenate([zero - 1, d["n"]]), "owner": np.concatenate([rows["owner"], d["owner"]]),
             "key": np.concatenate([rows["key"].astype(np.int64), none]), "band": np.concatenate([rows["band"].astype(np.int64), none]), "least": np.concatenate([rows["least"].astype(np.int64), none]), "times": np.concatenate([times, none]),
         })
 
-    x = set_rows(docs, text, id_col, within).filter("doc is not null")
-    x = x.mapInArrow(spread, "slice int, kind int, blob binary").groupBy("slice")
-    return written(x.applyInArrow(gather, "doc long, n long, owner long, key long, band long, least long, times long"), "jaccard-buckets")
+    x = placed(set_rows(docs, text, id_col, within)).mapInArrow(spread, "slice int, kind int, blob binary").groupBy("slice")
+    return x.applyInArrow(gather, "place long, named boolean, n long, owner long, key long, band long, least long, times long")
 
 
 def thinned(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,12 +248,12 @@ def thinned(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 # -- tokens of candidates --------------------------------------------------------------------------------------------
 def token_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, within: str | None = None) -> DataFrame:
-    """wanted (doc, owner): owner, its sorted tokens, their number n, and s0 to s15, the sketch of their single bits.
+    """wanted (place, owner): owner, its sorted tokens, their number n, and s0 to s15, the sketch of their single bits.
 
-    Other rows with the doc's id have other owners, and go.
+    Other rows of the place have other owners, and go.
     """
-    x = set_rows(docs, text, id_col, within).join(small(wanted), "doc")
-    x = x.select("owner", *[c for c in x.columns if c not in ("doc", "owner")])
+    x = placed(set_rows(docs, text, id_col, within)).join(small(wanted), "place")
+    x = x.select("owner", *[c for c in x.columns if c in ("text", "salt")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = Hasher(width)
@@ -265,109 +267,40 @@ def token_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", id_col: s
                 for k, t in enumerate(s):
                     bits[k] = np.bincount(t & (WORDS * 64 - 1), minlength=WORDS * 64) & 1
                 words = np.packbits(bits, axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in own], pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *s]))), pa.array(np.diff(cut), pa.int64()), *(pa.array(words[:, k]) for k in range(WORDS))], names=["owner", "tokens", "n", *_SKETCH])
-
-    return x.mapInArrow(run, "owner long, tokens array<long>, n long, " + ", ".join(f"{c} long" for c in _SKETCH))
-
-
-_SKETCH = [f"s{k}" for k in range(WORDS)]
+                yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in own], pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *s]))), pa.array(np.diff(cut), pa.int64()), *(pa.array(words[:, k]) for k in range(WORDS))], names=["owner", "tokens", "n", *SKETCH])
 
-
-def may_link(a: str, b: str) -> Column:
-    """The bound on sketches, over rows with n and sketch columns of both sides."""
-    apart = F.lit(0)
-    for c in _SKETCH:
-        apart = apart + F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}")))
-    return 9 * apart <= F.col(f"{a}.n") + F.col(f"{b}.n")
-
-
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) whose sets have 100 * intersection >= 80 * union."""
-    pairs = small(pairs)
-    wanted = small(written(pairs.select(F.col("a").alias("owner")).union(pairs.select("b")).distinct(), "wanted"))
-    own = sets.join(wanted, "owner").select("owner", "tokens")
-    x = own.select(F.col("owner").alias("a"), F.col("tokens").alias("ta")).join(pairs, "a").join(own.select(F.col("owner").alias("b"), F.col("tokens").alias("tb")), "b")
-    both = F.size(F.array_intersect("ta", "tb"))
-    return x.filter(100 * both >= 80 * (F.size("ta") + F.size("tb") - both)).select("a", "b")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, label: the smallest node that edges (a, b) reach; nodes without edges are left out.
-
-    Each round hangs every node below its smallest neighbour, goes one step up, and contracts the edges to the roots;
-    edges within a tree vanish, so what is joined shrinks from round to round, and a star is done after one.
-    """
-    low, high = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
-    left, labels = written(edges.select(low, high).filter("a < b").distinct(), "edges"), None
-    while True:
-        near = left.union(left.select(F.col("b"), F.col("a"))).groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near"))
-        near = written(near.select("node", F.least("node", "near").alias("near")), "near")
-        up = near.select(F.col("node").alias("near"), F.col("near").alias("label"))
-        roots = written(near.join(up, "near").select("node", "label"), "roots")
-        if labels is None:
-            labels = roots
-        else:
-            again = roots.select(F.col("node").alias("label"), F.col("label").alias("root"))
-            labels = written(labels.join(again, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "labels")
-        one, two = (roots.select(F.col("node").alias(c), F.col("label").alias(f"r{c}")) for c in ("a", "b"))
-        left = written(left.join(one, "a").join(two, "b").filter("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "edges")
-        if left.isEmpty():
-            return labels
-
-
-def passing(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Those of pairs (a, b) that the bound on sketches leaves."""
-    sketches = small(sketches)
-    x = pairs.join(sketches.alias("p"), F.col("a") == F.col("p.owner")).join(sketches.alias("q"), F.col("b") == F.col("q.owner"))
-    return x.filter(may_link("p", "q")).select("a", "b")
+    return x.mapInArrow(run, "owner long, tokens array<long>, n long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, within: str | None = None) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs with an id; rows link only with equal values of within."""
+    """doc_id, n_shingles, component_id for each row of docs; rows link only with equal values of within."""
     out = linked_rows(docs, text, id_col, width, within)
     return out.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("head.doc").alias("component_id"))
 
 
 def linked_rows(docs: DataFrame, text: str, id_col: str, width: int, within: str | None = None) -> DataFrame:
-    """doc, owner, n and head for each row of docs with an id; head is the smallest (doc, owner) of its component."""
-    found = buckets(docs, text, id_col, width, within)
-    of_docs = found.filter("n >= 0").select("doc", "n", "owner")
-    members = found.filter("n < 0").select("key", "owner", "band", "least", "times")
-    classes = of_docs.filter("n > 0").groupBy("owner").agg(F.min("doc").alias("doc"))
-    candidates = written(members.groupBy("owner", "band", "least").agg(F.sum("times").alias("shared")).filter("shared >= least").select("owner").distinct(), "candidates")
-    wanted = written(classes.join(small(candidates), "owner").select("doc", "owner"), "wanted")
-    sets = written(token_sets(docs, wanted, text, id_col, width, within), "sets")
-    if sets.count() > wanted.count():  # rows with equal ids and equal sets
-        sets = written(sets.dropDuplicates(["owner"]), "sets")
-    sketches = sets.drop("tokens")
-    left = members.select("key", "owner").join(small(candidates), "owner")
-    # stars: each member of a bucket with the bucket's first
-    firsts = left.groupBy("key").agg(F.min("owner").alias("first"), F.max("owner").alias("last")).filter("first <> last").select("key", "first")
-    stars = left.join(firsts, "key").filter("owner <> first").select(F.col("first").alias("a"), F.col("owner").alias("b")).distinct()
-    stars = written(passing(stars, sketches), "stars")
-    edges = written(linked(stars, sets), "edges")
-    labels = components(edges)
-    # buckets of several components: pairs across them
-    labelled = left.join(small(labels), left.owner == labels.node, "left").select("key", "owner", F.coalesce("label", "owner").alias("label"))
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    rest = written(labelled.join(mixed, "key"), "mixed")
-    keys = written(rest.groupBy("owner").agg(F.collect_set("key").alias("keys")), "keys")  # as many as a sketch has words
-    rest = written(rest.join(small(keys), "owner").join(small(sketches), "owner"), "mixed")
-    a, b = rest.alias("a"), rest.alias("b")
-    once = F.array_min(F.array_intersect("a.keys", "b.keys")) == F.col("a.key")  # a pair is met in the first bucket that it shares
-    apart = (F.col("a.owner") < F.col("b.owner")) & (F.col("a.label") != F.col("b.label"))
-    across = written(a.join(b, (F.col("a.key") == F.col("b.key")) & apart & may_link("a", "b") & once).select(F.col("a.owner").alias("a"), F.col("b.owner").alias("b")).distinct(), "across")
-    across = written(across.join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"), "across")
-    more = written(linked(across, sets), "edges")
-    owners = classes.join(labels, classes.owner == labels.node, "left").select("owner", "doc", F.coalesce("label", "owner").alias("label"))
-    if not more.isEmpty():
-        one, two = (labels.select(F.col("node").alias(c), F.col("label").alias(f"l{c}")) for c in ("a", "b"))
-        between = more.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-        again = components(between).select(F.col("node").alias("label"), F.col("label").alias("root"))
-        owners = owners.join(again, "label", "left").select("owner", "doc", F.coalesce("root", "label").alias("label"))
-    heads = owners.groupBy("label").agg(F.min(F.struct("doc", "owner")).alias("head"))
+    """doc, owner, n and head for each row of docs; head is the smallest (doc, owner) of its component, null if no row
+    of it has an id. The result is a written table; all tables on the way to it are deleted."""
+    s = Scratch(docs.sparkSession)
+    found = s.written(buckets(docs, text, id_col, width, within), "buckets")
+    of_docs = found.filter("n >= 0").select(F.when(F.col("named"), F.col("place")).alias("doc"), "place", "owner", "n")
+    classes = of_docs.filter("n > 0").groupBy("owner").agg(F.min("doc").alias("doc"), F.min("place").alias("place"))
+
+    def sets_of(owners: DataFrame) -> DataFrame:
+        wanted = s.written(classes.join(small(s.written(owners, "able")), "owner").select("place", "owner"), "wanted")
+        sets = s.written(token_sets(docs, wanted, text, id_col, width, within), "sets")
+        # rows with equal places and equal sets
+        return s.written(sets.dropDuplicates(["owner"]), "sets") if sets.count() > wanted.count() else sets
+
+    labels = connected(found.filter("n < 0").select("key", "owner", "band", "least", "times"), sets_of, s)
+    owners = resolved(classes, labels)
+    heads = owners.groupBy("label").agg(F.min(F.when(F.col("doc").isNotNull(), F.struct("doc", "owner"))).alias("head"))
     named = owners.join(heads, "label").select("owner", "head")
-    return of_docs.join(named, "owner", "left").select("doc", "owner", "n", F.coalesce("head", F.struct("doc", "owner")).alias("head"))
+    alone = F.when(F.col("doc").isNotNull(), F.struct("doc", "owner"))
+    out = of_docs.join(named, "owner", "left").select("doc", "owner", "n", F.coalesce("head", alone).alias("head"))
+    out = Scratch(docs.sparkSession).written(out, "linked")
+    s.drop()
+    return out
 
 
 def with_owner(docs: DataFrame, column: str, text: str, width: int) -> DataFrame:
@@ -388,18 +321,19 @@ def first_of_each(docs: DataFrame, text: str = "text", id_col: str = "doc_id", w
     Rows without an id stay. Rows with equal ids are told apart by their sets: of those with equal sets the first by
     all columns stays, and of those that link the one with the smallest owner.
     """
-    found = written(linked_rows(docs, text, id_col, width).select("doc", "owner", (F.struct("doc", "owner") != F.col("head")).alias("goes")), "found")
+    s = Scratch(docs.sparkSession)
+    found = linked_rows(docs, text, id_col, width).filter("doc is not null").select("doc", "owner", (F.struct("doc", "owner") != F.col("head")).alias("goes"))
     mark = unused(docs, "_gone")
-    number = F.col(f"`{id_col}`").cast("long")
+    number = F.col(f"`{id_col}`").try_cast("long")
     gone = found.filter("goes").select(F.col("doc").alias(mark), F.col("owner").alias(f"{mark}_owner")).distinct()
-    clashing = written(found.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc").alias(mark)), "clashing")
+    clashing = s.written(found.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("doc").alias(mark)), "clashing")
     if clashing.isEmpty():
-        return docs.join(small(written(gone.select(mark), "gone")), number == F.col(mark), "left_anti")
+        return docs.join(small(s.written(gone.select(mark), "gone")), number == F.col(mark), "left_anti")
     clash = small(clashing)
     alone = docs.join(clash, number == F.col(mark), "left_anti")
-    alone = alone.join(small(written(gone.select(mark).join(clash, mark, "left_anti"), "gone")), number == F.col(mark), "left_anti")
+    alone = alone.join(small(s.written(gone.select(mark).join(clash, mark, "left_anti"), "gone")), number == F.col(mark), "left_anti")
     own, whole = unused(docs, "_owner"), F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     each = with_owner(docs.join(clash, number == F.col(mark), "left_semi"), own, text, width)
-    each = each.join(small(written(gone.join(clash, mark, "left_semi"), "gone")), (number == F.col(mark)) & (F.col(own) == F.col(f"{mark}_owner")), "left_anti")
+    each = each.join(small(s.written(gone.join(clash, mark, "left_semi"), "gone")), (number == F.col(mark)) & (F.col(own) == F.col(f"{mark}_owner")), "left_anti")
     first = each.groupBy(number.alias("i"), F.col(own).alias("o")).agg(F.min_by(whole, F.to_json(whole)).alias("row"))
     return alone.unionByName(first.select("row.*"))

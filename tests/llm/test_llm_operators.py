@@ -109,8 +109,8 @@ def test_jaccard(docs, empty, texts):
     sets = brute_sets(texts)
     want = brute_components(sets)
     got = jaccard.near_duplicates(docs).collect()
-    assert len(got) == len(texts) + 1
-    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), want[i]) for i, s in sets.items()}
+    assert len(got) == len(texts) + 2
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(s), want[i]) for i, s in sets.items()} | {None: (3, None)}
     assert want[5] == want[6] == 4 and want[9] == 8
     assert jaccard.near_duplicates(empty).count() == 0
     kept = jaccard.first_of_each(docs)
@@ -132,6 +132,27 @@ def test_jaccard_chains(spark):
     assert {x.doc_id: x.component_id for x in jaccard.near_duplicates(df).collect()} == want
 
 
+def test_jaccard_long_family(spark):
+    """Edits of a text of 20,000 words, whose sketches have thousands of words, and a family just below the threshold."""
+    r, base = random.Random(8), prose(77, 20_000).split()
+    texts = {k: prose(k, 300) for k in range(5)}
+    for k in range(10, 16):
+        w = list(base)
+        for _ in range(200 * (k - 10)):
+            w[r.randrange(len(w))] = r.choice(WORDS)
+        texts[k] = " ".join(w)
+    own = prose(78, 120).split()
+    for k in range(20, 80):
+        w = list(own)
+        for at in r.sample(range(0, 120, 5), 3):
+            w[at] = f"edit{k}-{at}"
+        texts[k] = " ".join(w)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    want = brute_components(brute_sets(texts))
+    assert {x.doc_id: x.component_id for x in jaccard.near_duplicates(df).collect()} == want
+    assert len({want[k] for k in range(10, 16)}) < 6 and len({want[k] for k in range(20, 80)}) > 1
+
+
 def test_jaccard_clashing_ids(spark):
     """Rows with one id and different texts: a copy goes, a clean text stays, and neither has the other's links."""
     near = prose(31).split()
@@ -144,7 +165,7 @@ def test_jaccard_clashing_ids(spark):
     assert six in ([prose(35)], [prose(35) + " end"])
     assert {(i, t or "") for i, t in kept[0] if i != 6} == {(1, prose(31)), (2, prose(32)), (7, prose(33)), (8, prose(34)), (9, ""), (None, prose(31))}
     of = Counter((r.doc_id, r.component_id) for r in jaccard.near_duplicates(df).collect())
-    assert of == Counter({(1, 1): 1, (2, 2): 1, (7, 1): 1, (7, 7): 2, (8, 1): 1, (8, 8): 1, (9, 8): 1, (9, 9): 2, (6, 6): 2})
+    assert of == Counter({(None, 1): 1, (1, 1): 1, (2, 2): 1, (7, 1): 1, (7, 7): 2, (8, 1): 1, (8, 8): 1, (9, 8): 1, (9, 9): 2, (6, 6): 2})
 
 
 # -- 4 -------------------------------------------------------------------------------------------------------------------
