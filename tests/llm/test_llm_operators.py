@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,8 +63,6 @@ def test_language(spark, docs, empty):
 
 
 def test_language_backoff():
-    import numpy as np
-
     rows = np.log(np.array([[0.9, 0.1], [0.2, 0.8], [0.5, 0.5]]))
     m = language.Model(["aa", "bb"], {"known": 0}, [{}, {"q": 2}, {"xy": 1}], rows)
     p = language.Predictor(m)
@@ -181,20 +180,75 @@ def test_pieces(docs, empty, texts):
     assert pieces.encode(empty).count() == 0
 
 
-def test_pieces_distribution():
-    import numpy as np
-
-    lat = pieces.Lattices(pieces.vocabulary(pieces.model_path()))
-    n, first, both, p = 1500, Counter(), Counter(), {}
-    for key in range(n):
-        (a, pa, _), (b, pb, _) = next(pieces.encode_texts(lat, [key], ["ver the"], 2, 0))
-        first[a.tobytes()] += 1
-        both[a.tobytes(), b.tobytes()] += 1
-        p[a.tobytes()], p[b.tobytes()] = np.exp(pa), np.exp(pb)
-    for a, c in first.most_common(2):
-        assert c / n == pytest.approx(p[a], abs=0.05)
-    for (a, b), c in both.most_common(2):
-        assert c / n == pytest.approx(p[a] * p[b] / (1 - p[a]), abs=0.05)
+def all_segmentations(text, vocab):
+    """Every way to write the text in pieces, told plainly: tuple of ids -> probability."""
+    surface, raw, zero, use = vocab
+    ids = [i for i, u in enumerate(use) if u]
+    weight = {surface[i]: (i, 1.0 / (rank + pieces.FLAT)) for rank, i in enumerate(ids)}
+    out = {}
+
+    def walk(rest, done, w):
+        if not rest:
+            out[done] = w
+        for n in range(1, len(rest) + 1):
+            if rest[:n] in weight:
+                i, x = weight[rest[:n]]
+                walk(rest[n:], (*done, i), w * x)
+
+    walk(" " + text, (), 1.0)
+    total = sum(out.values())
+    return {k: w / total for k, w in out.items()}
+
+
+@pytest.mark.parametrize("text", ["ver the", "in  to", "aaab"])
+def test_pieces_against_all_segmentations(text):
+    """Probabilities, first samples, pairs without replacement, and inclusion scores, which must weigh to 1."""
+    import math
+
+    vocab = pieces.vocabulary(pieces.model_path())
+    want, lat = all_segmentations(text, vocab), pieces.Lattices(vocab)
+    n, k, first, pair, weighed = 4000, 3, Counter(), Counter(), Counter()
+    for own in pieces.encode_texts(lat, list(range(n)), [text] * n, k, 0):
+        got = [tuple(ids.tolist()) for ids, _, _ in own]
+        assert len(set(got)) == k and all(math.exp(p) == pytest.approx(want[g]) for g, (_, p, _) in zip(got, own, strict=True))
+        first[got[0]] += 1
+        pair[got[0], got[1]] += 1
+        for g, (_, _, score) in zip(got, own, strict=True):
+            weighed[g] += math.exp(-score) / n
+    assert math.fsum(want.values()) == pytest.approx(1)
+    for g, p in sorted(want.items(), key=lambda x: -x[1])[:3]:
+        assert first[g] / n == pytest.approx(p, abs=0.035)
+        assert weighed[g] == pytest.approx(1, abs=0.12)
+    for (a, b), c in pair.most_common(2):
+        assert c / n == pytest.approx(want[a] * want[b] / (1 - want[a]), abs=0.035)
+    assert sum(want[g] * w for g, w in weighed.items()) == pytest.approx(1, abs=0.06)
+
+
+def test_pieces_of_few_segmentations():
+    """A text with fewer than k gives them all, and their scores are certain."""
+    vocab = pieces.vocabulary(pieces.model_path())
+    lat = pieces.Lattices(vocab)
+    want = all_segmentations("a", vocab)
+    own = next(pieces.encode_texts(lat, [5], ["a"], 9, 0))
+    assert {tuple(x.tolist()) for x, _, _ in own} == set(want) and all(s == 0.0 for _, _, s in own)
+
+
+def test_pieces_long_run():
+    """No cut within a run without spaces: pieces cross every place, and the masses of a long run stay in range."""
+    vocab = pieces.vocabulary(pieces.model_path())
+    lat, voc = pieces.Lattices(vocab), pieces.Vocabulary(vocab)
+    text = "international" * 3000
+    own = next(pieces.encode_texts(lat, [1], [text], 2, 0))
+    assert [voc.decode(x) for x, _, _ in own] == [text.encode()] * 2
+    piece = next(i for i, s in enumerate(vocab[0]) if s == "international") if "international" in vocab[0] else None
+    sizes = np.array([len(s) for s in vocab[0]])
+    ends = np.cumsum(sizes[own[0][0]])
+    assert (ends % 48 == 0).mean() < 0.1 and np.isfinite([p for _, p, _ in own]).all()
+    assert piece is None or piece in own[0][0] or (sizes[own[0][0]] > 6).any()
+    # a single chunk's lattice gives the probabilities of all segmentations, whatever its length
+    short = all_segmentations("internat", vocab)
+    x, p, _ = next(pieces.encode_texts(lat, [3], ["internat"], 1, 0))[0]
+    assert np.exp(p) == pytest.approx(short[tuple(x.tolist())])
 
 
 # -- 5 -------------------------------------------------------------------------------------------------------------------
