@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,18 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quern-{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the writes within go when each has ended; Spark has a setting for that."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written on the way to a result; ``drop`` deletes them once the result itself is written."""
 
@@ -40,7 +54,8 @@ class Scratch:
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """df as a table in the shared folder: cuts the lineage and survives lost executors."""
         path = fresh_path(self.spark, name)
-        df.write.parquet(path)
+        with shuffles_released(self.spark):
+            df.write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
