@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import gc
-import time
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +11,6 @@ from quern.tables import Scratch, estimated_bytes, fresh_path, shared_dir, small
 __all__ = ["Scratch", "ascii_lower", "estimated_bytes", "fresh_path", "mix64", "shared_dir", "small", "table", "unused", "written"]
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of plans that are done with; it does so when the driver's JVM collects them."""
-    for _ in range(2):  # what the first one finds dead still holds the rest
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -4,11 +4,13 @@ Known words count with their log frequency in each language. An unseen word fall
 longest first: the first length of which any n-gram is known gives the word's score, the mean over those known.
 
 The model is fitted on a bounded sample (about ``SAMPLE`` documents of each language, chosen by hash of the id) and
-keeps at most ``WORDS`` words, so what is sent to the executors is bounded whatever the table's size.
+keeps at most ``WORDS`` words, dealt evenly among the languages, at least ``LEAST`` of each, so what is sent to the
+executors is bounded whatever the table's size, and a rare language has its share. No language is left out.
 
 Defined results: null text, empty text and text without letters are ``und`` with score 0; ties go to the language
-first by code point; whole texts count, however long; equal texts get equal predictions; an empty table gives an
-empty result, and a model fitted on nothing calls everything ``und``.
+first by code point; whole texts count, however long; equal texts, so repeated rows too, get equal predictions; an empty
+table gives an empty result, and a model fitted on nothing calls everything ``und``; extra columns, whatever their names,
+are left out of predictions and stay as they are in ``recognised``.
 """
 
 from __future__ import annotations
@@ -19,14 +21,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bounds of the model: documents of each language in the sample, words kept, languages, longest n-gram.
+#: Bounds of the model: documents of each language in the sample, words kept in all, words of each language that are kept
+#: in any case, longest n-gram.
 SAMPLE = 1500
 WORDS = 40_000
-LANGUAGES = 256
+LEAST = 200
 LONGEST = 4
+#: Score from which a language counts as recognised: it is likelier than all others together.
+CERTAIN = 0.5
 #: Unseen words whose scores a task keeps at hand.
 HELD = 200_000
 
@@ -47,17 +52,16 @@ class Model:
 def fit(docs: DataFrame, sample: int = SAMPLE, words: int = WORDS, longest: int = LONGEST) -> Model:
     """docs (doc_id, text, lang): the labelled rows that may be learned from."""
     x = docs.filter("lang is not null and text is not null")
-    sizes = {r.lang: r.n for r in x.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r.lang: r.n for r in x.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], {}, [{} for _ in range(longest + 1)], np.zeros((0, 0)))
     wide = 1_000_000
-    share = F.lit(0)
-    for lang in langs:
-        share = F.when(F.col("lang") == lang, F.lit(min(wide, -(-wide * sample // sizes[lang])))).otherwise(share)
-    x = x.filter(F.pmod(F.xxhash64("doc_id"), F.lit(wide)) < share)
+    share = F.create_map(*[F.lit(v) for lang in langs for v in (lang, min(wide, -(-wide * sample // sizes[lang])))])
+    x = x.filter(F.pmod(F.xxhash64("doc_id"), F.lit(wide)) < F.element_at(share, F.col("lang")))
     seen = x.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}++"), F.lit(0))).alias("word"))
-    top = seen.groupBy("lang", "word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word", "lang").limit(words).toPandas()
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    top = seen.groupBy("lang", "word").agg(F.count("*").alias("n")).withColumn("rank", rank).filter(F.col("rank") <= max(LEAST, words // len(langs))).orderBy("lang", "rank").toPandas()
     at = {lang: k for k, lang in enumerate(langs)}
     counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs)))
     for lang, word, n in zip(top["lang"], top["word"], top["n"], strict=True):
@@ -216,15 +220,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id_col: str = "do
     return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
 
 
-def recognised(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text has a language: those that predict() calls und go."""
+def recognised(docs: DataFrame, model: Model, text: str = "text", accepted: list[str] | None = None, least: float = CERTAIN) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text is in an accepted language (None: any that the model has),
+    predicted with a score of ``least`` or more."""
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.words, model.grams, model.table))
     at = docs.columns.index(text)
+    wanted = set(model.langs if accepted is None else accepted) - {"und"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Predictor(Model(*sent.value))
         for b in batches:
-            known = [x[0] != "und" for texts in by_size(b.column(at).to_pylist()) for x in p(texts)]
+            known = [lang in wanted and score >= least for texts in by_size(b.column(at).to_pylist()) for lang, score in p(texts)]
             yield b.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

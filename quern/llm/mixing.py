@@ -6,8 +6,11 @@ demand; a document's place in its source's stream, inverted through that integra
 All steps are DataFrame operations. A source may hold any share of the rows: its running sums are taken over
 hash-ordered buckets of the source, then over the buckets' totals.
 
-Defined results: null text has size 0; null source is a source of its own, last; a source without words has
-target 0 and nothing is taken; rows with equal ids are rows of their own; an empty table gives an empty result.
+Defined results: null text has size 0; whole texts are counted, however long; null source is a source of its own, last;
+a source without words has target 0 and nothing is taken; rows with equal ids are rows of their own, ordered by size, and
+repeated rows fill their source's stream one after the other; an empty table gives an empty result. The columns are
+doc_id, text and source; extra ones, whatever their names, are left out of ``mix`` unless named by ``keep``, and stay as
+they are in ``mixed_documents``.
 """
 
 from __future__ import annotations

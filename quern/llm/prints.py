@@ -3,14 +3,17 @@ kept, and hashed over several randomised subsets of that lexicon.
 
 A subset of rate 1 / 2^b holds the terms of which b bits of a seeded hash are zero; there are COPIES subsets for each
 of RATES, so texts of a few terms and of thousands both have subsets with a handful of theirs. A subset's hash is the
-sum of its terms' hashes: that of the sorted list of distinct terms, whatever order they come in, without holding the
-list in one place. All steps are DataFrame operations; document frequencies are counted over all rows.
+sum of its distinct terms' hashes, which, as that of their sorted list, is the same in whatever order they come, but
+without holding the list in one place. All steps are DataFrame operations; document frequencies are counted over all
+rows. Two texts are near from a likeness of NEAR on: one of the subsets agrees.
 
 The lexicon is broadcast only if it has at most BROADCAST terms; beyond that it is joined by a shuffle.
 
 Defined results: null is empty; a text without terms in the band is hashed over all its terms, one whose terms in the
-band are in no subset over those in the band, and one without terms has an empty fingerprint; equal texts have equal fingerprints; documents follow each other by (id, hash of the text),
-null ids first, the first after the last; rows with equal id and text have the same result each.
+band are in no subset over those in the band, and one without terms has an empty fingerprint; equal texts have equal
+fingerprints; whole texts count, however long; documents follow each other by (id, hash of the text), null ids first,
+the first after the last; rows with equal id and text have the same result each; an empty table gives an empty result;
+extra columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -18,15 +21,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import release, written
+from quern.llm.common import written
 
 #: The band of log(N / df) / log(N).
 BAND = (0.25, 0.85)
-RATES = (2, 5, 8, 11)
+RATES = (2, 4, 6, 8, 10)
 COPIES = 8
 #: Subsets with a member that a rate must have to be heard beside the densest rate.
 LEAST = 5
 BROADCAST = 1_000_000
+#: Likeness from which two texts are near.
+NEAR = 0.125
 _BITS = (1 << 40) - 1
 
 
@@ -47,27 +52,41 @@ def _slots() -> list[tuple[int, int]]:
     return [(b, c) for b in RATES for c in range(COPIES)]
 
 
-def _sums(times: Column) -> list[Column]:
-    """For each subset the sum of its members' hashes, and one over all terms; times: how often each row is counted."""
+def _sums(times: Column, also: Column | None = None, tag: str = "") -> list[Column]:
+    """For each subset the sum of its members' hashes, and one over all terms; times: how often each row is counted.
+
+    also: a further condition on the rows; tag goes before the names.
+    """
     t = F.col("term")
     value = F.xxhash64(t, F.lit(77)).bitwiseAND(F.lit(_BITS))
+    value = value if also is None else F.when(also, value)
     draws = [F.xxhash64(t, F.lit(c)) for c in range(COPIES)]
-    out = [F.sum(F.when(F.col("inside") & (draws[c].bitwiseAND(F.lit((1 << b) - 1)) == 0), value)).alias(f"s{b}_{c}") for b, c in _slots()]
-    return [*out, F.sum(F.when(F.col("inside"), value)).alias("within"), F.sum(value).alias("whole")]
+    out = [F.sum(F.when(F.col("inside") & (draws[c].bitwiseAND(F.lit((1 << b) - 1)) == 0), value)).alias(f"{tag}s{b}_{c}") for b, c in _slots()]
+    return [*out, F.sum(F.when(F.col("inside"), value)).alias(f"{tag}within"), F.sum(value).alias(f"{tag}whole")]
 
 
-def fingerprints(rows: DataFrame, lex: DataFrame, keys: list[str], times: str, text: str = "text") -> DataFrame:
-    """keys and print (array<bigint>: a value for each subset, null if it has no member) of each row; rows alike in
-    their keys have equal texts and are ``times`` many."""
+def _print(times: str, tag: str = "") -> Column:
+    """The fingerprint from the sums: array<bigint>, a value for each subset, null if it has no member."""
+    within, whole = F.col(f"{tag}within"), F.col(f"{tag}whole")
+    none = F.coalesce(*[F.col(f"{tag}s{RATES[0]}_{c}") for c in range(COPIES)]).isNull()  # a member at another rate is one at the first
+    value = lambda c: F.when(within.isNull(), whole).when(none, within).otherwise(F.col(f"{tag}{c}"))
+    return F.transform(F.array(*[value(f"s{b}_{c}") for b, c in _slots()]), lambda v: F.call_function("div", v, F.col(times)))
+
+
+def _marked(rows: DataFrame, lex: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, term and inside: a row for each distinct term of each row, or one with no term."""
     x = rows.select(*keys, F.explode_outer(terms(F.col(text))).alias("t")).select(*keys, F.when(F.col("t").isNotNull(), F.xxhash64("t")).alias("term"))
     marked = lex.select("term", F.lit(True).alias("inside"))
     if lex.count() <= BROADCAST:
         marked = F.broadcast(marked)
-    x = x.join(marked, "term", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
-    x = x.groupBy(*keys).agg(*_sums(F.col(times)))
-    none = F.coalesce(*[F.col(f"s{RATES[0]}_{c}") for c in range(COPIES)]).isNull()  # a member at another rate is one at the first
-    value = lambda c: F.when(F.col("within").isNull(), F.col("whole")).when(none, F.col("within")).otherwise(F.col(c)) / F.col(times)
-    return x.select(*keys, F.array(*[value(f"s{b}_{c}").cast("long") for b, c in _slots()]).alias("print"))
+    return x.join(marked, "term", "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
+
+
+def fingerprints(rows: DataFrame, lex: DataFrame, keys: list[str], times: str, text: str = "text") -> DataFrame:
+    """keys and print (array<bigint>: a value for each subset, null if it has no member) of each row; rows alike in
+    their keys have equal texts and are ``times`` many."""
+    x = _marked(rows, lex, keys, text).groupBy(*keys).agg(*_sums(F.col(times)))
+    return x.select(*keys, _print(times).alias("print"))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -126,13 +145,13 @@ def edited(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataF
 def compare_edited(docs: DataFrame, text: str = "text", id_col: str = "doc_id", band=BAND) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of each row of docs."""
     lex = lexicon(docs.select(F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), "text", band)
-    release(docs.sparkSession)  # the counts' shuffle files go before texts move
     x = edited(docs, text, id_col)
     versions = F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("text").alias("text")), F.struct(F.lit(1).alias("kind"), F.col("edited").alias("text")))).alias("v")
     keys = ["id", "h", "times", "n", "nid", "nh", "sha"]
     rows = x.withColumn("sha", F.sha2("edited", 256)).select(*keys, versions).select(*keys, "v.kind", "v.text")
-    prints = fingerprints(rows, lex, [*keys, "kind"], "times")
-    pair = written(prints.groupBy(*keys).agg(F.max(F.when(F.col("kind") == 0, F.col("print"))).alias("own"), F.max(F.when(F.col("kind") == 1, F.col("print"))).alias("changed")), "prints")
+    sums = [c for k in (0, 1) for c in _sums(F.col("times"), F.col("kind") == k, f"v{k}_")]
+    both = _marked(rows, lex, [*keys, "kind"], "text").groupBy(*keys).agg(*sums)
+    pair = written(both.select(*keys, _print("times", "v0_").alias("own"), _print("times", "v1_").alias("changed")), "prints")
     after = pair.select(F.col("id").alias("bid"), F.col("h").alias("bh"), F.col("own").alias("following"))
     y = pair.join(after, F.col("nid").eqNullSafe(F.col("bid")) & (F.col("nh") == F.col("bh")))
     y = y.withColumn("_again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))

@@ -53,7 +53,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixing.by_position(mixing.mix(docs)).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.by_position(mixing.mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "first_position")
 
 
 def queries() -> dict:
@@ -111,12 +111,16 @@ WITH rows_ AS (
 ), chosen AS (
   SELECT level FROM levels WHERE level <= fills_at ORDER BY fills_at, slot LIMIT 1
 ), targets AS (
-  SELECT source, source_size, CASE WHEN (SELECT level FROM chosen) IS NULL THEN most ELSE least((SELECT level FROM chosen) * weight, most) END AS target FROM levels
+  SELECT source, source_size, slot, CASE WHEN (SELECT level FROM chosen) IS NULL THEN most ELSE least((SELECT level FROM chosen) * weight, most) END AS target FROM levels
 ), placed AS (
   SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM rows_
+), taking AS (
+  SELECT doc_id, size, source_size, target, slot, (start + size / 2.0::DOUBLE) / target AS share, (start + size / 2.0::DOUBLE <= target AND size > 0) AS once, (source_size + start + size / 2.0::DOUBLE <= target AND size > 0) AS twice
+  FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
 )
-SELECT doc_id, size, source_size, target, (size * ((start + size / 2.0::DOUBLE <= target AND size > 0)::BIGINT + (source_size + start + size / 2.0::DOUBLE <= target AND size > 0)::BIGINT))::BIGINT AS taken
-FROM placed p JOIN targets t ON p.source IS NOT DISTINCT FROM t.source
+SELECT doc_id, size, source_size, target, (size * (once::BIGINT + twice::BIGINT))::BIGINT AS taken,
+  CASE WHEN once THEN CASE slot % 3 WHEN 0 THEN (sqrt(4.0::DOUBLE + (-3.0)::DOUBLE * share) - 2.0::DOUBLE) / (-1.0)::DOUBLE WHEN 1 THEN share ELSE (sqrt(0.25::DOUBLE + 2.0::DOUBLE * share) - 0.5::DOUBLE) / 1.0::DOUBLE END END AS first_position
+FROM taking
 """
 
 

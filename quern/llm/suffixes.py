@@ -14,8 +14,12 @@ level holds is always of a smaller document, or of the same one.
 Within a map task a run that several documents share is sent once, for the smallest of them, so a hot passage sends
 one piece from each task. Memory of a task is bounded by PIECE, HOLD and the slice's share of the text.
 
-Defined results: null is empty; texts shorter than LENGTH stay whole; rows with equal ids never remove bytes of one
-another; a null id counts as the largest; matches never cross documents; extra columns stay as they are.
+Runs that are equal by a 64-bit hash of their bytes count as equal within a map task; all others are compared by bytes.
+
+Defined results: null is empty; texts shorter than LENGTH stay whole; whole texts count, however long, in pieces; rows
+with equal ids (so repeated rows too) never remove bytes of one another; of equal strings the one in the smallest id
+stays wherever it stands; a null id counts as the largest; matches never cross documents; an empty table gives an empty
+result; extra columns, whatever their names, stay as they are, and are left out of digests.
 """
 
 from __future__ import annotations
@@ -29,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import estimated_bytes, mix64, release, unused, written
+from quern.llm.common import estimated_bytes, mix64, unused, written
 
 LENGTH = 50
 GRAM = 16
@@ -353,8 +357,7 @@ def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     """docs with the repeated bytes cut out of their texts (a character that loses a byte goes as a whole), or with
     digests the id, n_bytes, n_removed, n_spans and kept_sha256 of each row."""
     part = unused(docs, "_part")
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = estimated_bytes(docs)
     n_slices, n_parts = max(partitions, -(-size // (3 << 20))), max(partitions, -(-size // (6 << 20)))
     number = F.col(f"`{id_col}`").cast("long")
@@ -368,8 +371,6 @@ def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
         return match_slice(n_parts)(table)
 
     spans = written(sent.groupBy("slice").applyInArrow(reduce, "part int, spans binary"), "spans")
-    del sent
-    release(spark)
     wanted = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")) if digests else docs
     names, text_at, id_at = wanted.columns, wanted.columns.index(text), wanted.columns.index(id_col)
 

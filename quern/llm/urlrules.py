@@ -5,8 +5,10 @@ run of characters. Each rule has literal tokens: runs of a-z0-9 that must stand
 fits. Of these the one seen least often in the URL table itself is the rule's key in a hash index, held in the plan
 as a literal whose size is that of the rule list. A URL's tokens fetch the candidates; no row is shuffled.
 
-Defined results: a null URL or one without ``://`` has empty host and path and fits only rules without tokens;
-repeated rows are judged alike; an empty table gives an empty result.
+Defined results: a null URL or one without ``://`` has empty host and path and fits only rules without tokens; whole URLs
+count, however long; of rules of equal length block wins, then the first by text; repeated rows are judged alike; an
+empty table gives an empty result; a column of the caller's whose name clashes with an added one is kept under that name
+with an underscore (or more) behind it.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ascii_lower
+from quern.llm.common import ascii_lower, unused
 
 
 @dataclass(frozen=True)
@@ -78,12 +80,14 @@ def url_tokens(c: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(ascii_lower(c), "[^a-z0-9]+"), ""))
 
 
-def token_counts(keys: DataFrame, wanted: list[str]) -> dict[str, int]:
-    """How many URLs have each of the rules' tokens; the result is bounded by the rules."""
-    only = keys.select(F.explode(F.array_intersect("_tokens", F.array(*[F.lit(t) for t in wanted]))).alias("t")) if wanted else None
+def token_counts(tokens: DataFrame, wanted: list[str]) -> dict[str, int]:
+    """tokens: one column of arrays. How many URLs have each of the rules' tokens; the result is bounded by the rules."""
+    only = tokens.select(F.explode(F.array_intersect(tokens[tokens.columns[0]], F.array(*[F.lit(t) for t in wanted]))).alias("t")) if wanted else None
     return {r.t: r.n for r in only.groupBy("t").agg(F.count("*").alias("n")).collect()} if wanted else {}
 
 
+#: Columns that judge() adds.
+ADDED = ("host", "path", "rule", "verdict", "pattern", "n_candidates")
 _ENTRIES = "array<struct<key:string,rank:int,name:string,verdict:string,method:boolean,regex:string>>"
 
 
@@ -105,20 +109,27 @@ def judge(pages: DataFrame, rules=RULES, patterns=PATTERNS, default: str = "allo
 
     Of several rules that fit, the one with the longest text wins, then block, then by text.
     """
+    x = pages
+    for c in pages.columns:
+        if c.lower() in ADDED:
+            free = unused(x, c)
+            x, url = x.withColumnRenamed(c, free), free if c == url else url
+    own = [unused(x, c) for c in ("_whole", "_tokens", "_found", "_best")]
+    whole, tokens, candidates, best = own
     host, path = host_and_path(F.col(f"`{url}`"))
-    x = pages.drop("host", "path", "rule", "verdict", "pattern", "n_candidates", "_whole", "_tokens").withColumns({"host": host, "path": path})
-    x = x.withColumn("_whole", F.concat("host", "path"))
-    x = x.withColumn("_tokens", url_tokens(F.col("_whole")))
+    x = x.withColumns({"host": host, "path": path})
+    x = x.withColumn(whole, F.concat("host", "path"))
+    x = x.withColumn(tokens, url_tokens(F.col(whole)))
     every = [*rules, *patterns]
     order = sorted(every, key=lambda r: (r.method, -len(r.name), r.verdict != "block", r.name))
-    counts = token_counts(x, sorted({t for r in every for t in r.tokens()}))
+    counts = token_counts(x.select(tokens), sorted({t for r in every for t in r.tokens()}))
     keyed = [(k, r, min(r.tokens(), key=lambda t: (counts.get(t, 0), t)) if r.tokens() else "") for k, r in enumerate(order)]
     slots = max(1, 2 * len(keyed))
     index = _index(keyed, slots)
-    fetch = F.concat(F.col("_tokens"), F.array(F.lit("")))  # rules without a token are candidates for every URL
+    fetch = F.concat(F.col(tokens), F.array(F.lit("")))  # rules without a token are candidates for every URL
     found = F.flatten(F.transform(fetch, lambda t: F.filter(F.element_at(index, (F.crc32(t) % slots + 1).cast("int")), lambda e: e["key"] == t)))
-    x = x.withColumn("_found", found)
-    fits = F.array_sort(F.transform(F.filter("_found", lambda e: F.regexp_like(F.col("_whole"), e["regex"])), lambda e: F.struct(e["rank"], e["name"], e["verdict"], e["method"])))
-    x = x.withColumn("_best", F.try_element_at(fits, F.lit(1)))
-    rule = F.when(~F.col("_best.method"), F.col("_best.name"))
-    return x.withColumns({"rule": rule, "pattern": F.when(F.col("_best.method"), F.col("_best.name")), "verdict": F.coalesce("_best.verdict", F.lit(default)), "n_candidates": F.size("_found")}).drop("_whole", "_tokens", "_found", "_best")
+    x = x.withColumn(candidates, found)
+    fits = F.array_sort(F.transform(F.filter(candidates, lambda e: F.regexp_like(F.col(whole), e["regex"])), lambda e: F.struct(e["rank"], e["name"], e["verdict"], e["method"])))
+    x = x.withColumn(best, F.try_element_at(fits, F.lit(1)))
+    name, method = F.col(f"{best}.name"), F.col(f"{best}.method")
+    return x.withColumns({"rule": F.when(~method, name), "pattern": F.when(method, name), "verdict": F.coalesce(F.col(f"{best}.verdict"), F.lit(default)), "n_candidates": F.size(candidates)}).drop(*own)

@@ -72,6 +72,38 @@ def test_language_backoff():
         assert np.allclose(p.table[p.rows[w]], language.backoff(m, w))
 
 
+def test_language_of_few_words(spark):
+    """A language with few rows keeps its words beside one with very many, and ties go to the first."""
+    r = random.Random(4)
+    many = [f"{a}{b}" for a in "bcdfgklm" for b in ("ab", "ed", "if", "og", "um")]
+    few = ["qirx", "xuzq", "zyqx", "qyzz"]
+    rows = [(k, " ".join(r.choice(many) + r.choice(many) for _ in range(300)), "big") for k in range(60)] + [(100 + k, " ".join(r.choice(few) for _ in range(5)), "rare") for k in range(3)]
+    m = language.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), words=400)
+    assert sum(1 for w in few if w in m.words) == len(few) and len(m.words) <= 400 + len(few)
+    p = language.Predictor(m)
+    assert p(["qirx zyqx xuzq"])[0][0] == "rare" and p(["bab ded kif"])[0][0] == "big"
+    tied = language.Model(["aa", "bb"], {"x": 0}, [{}], np.zeros((1, 2)))
+    assert language.Predictor(tied)(["x x"]) == [("aa", 0.5)]
+
+
+def test_language_held_out(spark):
+    """Accuracy on documents that the fit does not see, and scores told plainly."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    m = language.fit(docs.filter(language.training_rows()))
+    held = docs.filter(~language.training_rows())
+    got = language.predict(held, m).join(held, "doc_id").filter("lang is not null and lang_pred <> 'und'")
+    n, right = got.count(), got.filter("lang = lang_pred").count()
+    assert n > 200 and right / n >= 0.98
+    for r in got.orderBy("doc_id").limit(20).collect():
+        words = [w for w in re.findall(r"[^\W\d_]+", r.text.lower())]
+        total = sum(m.table[m.words[w]] if w in m.words else language.backoff(m, w) for w in words)
+        e = np.exp((total - total.max()) / max(1.0, len(words) ** 0.5))
+        assert r.lang_pred == m.langs[int(np.argmax(total))] and r.score == pytest.approx(e.max() / e.sum())
+    kept = language.recognised(docs.filter("lang is not null"), m)
+    assert kept.count() / docs.filter("lang is not null").count() > 0.97
+    assert language.recognised(docs, m, accepted=["xx"]).count() == 0
+
+
 # -- 2 -------------------------------------------------------------------------------------------------------------------
 def test_url_rules(spark):
     cases = {
@@ -85,6 +117,17 @@ def test_url_rules(spark):
     assert urlrules.judge(df.limit(0)).count() == 0
 
 
+def test_url_rules_keep_columns(spark):
+    """The caller's columns stay, whatever their names, and a long URL is read to its end."""
+    names = ["url", "host", "Path", "rule", "verdict", "pattern", "n_candidates", "_whole", "_tokens", "_found", "_best"]
+    long_ = "http://x.net/" + "a" * 100_000 + "/ads/1"
+    got = urlrules.judge(spark.createDataFrame([(long_, *map(str, range(10)))], ", ".join(f"`{c}` string" for c in names))).first().asDict()
+    assert (got["host"], got["verdict"], got["pattern"], got["url"]) == ("x.net", "block", "/ads/", long_)
+    assert [got[c] for c in ("host_", "Path_", "rule_", "verdict_", "pattern_", "n_candidates_", "_whole", "_tokens", "_found", "_best")] == [str(k) for k in range(10)]
+    own = urlrules.judge(spark.createDataFrame([("http://org/es/", 1)], "host string, k int"), url="host").first()
+    assert (own.host, own.host_, own.verdict) == ("org", "http://org/es/", "block")
+
+
 # -- 3 -------------------------------------------------------------------------------------------------------------------
 def brute_sets(texts):
     out = {}
@@ -255,9 +298,12 @@ def test_pieces_long_run():
 def test_media(docs, empty, texts):
     got = {r.doc_id: r for r in media.read(media.store(docs)).collect()}
     for i, t in texts.items():
-        n, payload = media.payload_of(t)
+        raw = (t or "").encode()
+        payload = raw + b"\xff" * (576 - len(raw) % 576 if len(raw) % 576 or not raw else 0)
         r = got[i]
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
+        stored = media.WRITERS[r.media_type](payload)
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest()) and payload in stored
         assert len(payload) % 576 == 0 and r.payload_bytes > 0 and r.media_type in media.WRITERS
     assert media.read(media.store(empty)).count() == 0
 
@@ -391,15 +437,67 @@ def test_prints(spark, docs, empty):
     assert alone.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest() and alone.near_next == 1.0
 
 
+def test_prints_against_plain_version(spark):
+    """Fingerprints and likenesses told plainly, from the terms' hashes and the lexicon, and recall of edited texts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in prints.compare_edited(docs).collect()}
+    follow = sorted(rows)
+    edit = {i: rows[i][: len(rows[i]) - len(rows[i]) // 4] + rows[follow[(k + 1) % len(follow)]][: len(rows[i]) // 4] for k, i in enumerate(follow)}
+    of = lambda t: set(re.findall(r"[^\W_]+", t.lower()))
+    df = Counter(w for t in rows.values() for w in of(t))
+    n = len(rows)
+    lex = {w for w, c in df.items() if n ** (1 - prints.BAND[1]) <= c <= n ** (1 - prints.BAND[0])}
+    words = sorted(set(df) | {w for t in edit.values() for w in of(t)})
+    term = F.xxhash64("w")
+    hashed = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64(term, F.lit(77)).alias("v"), *[F.xxhash64(term, F.lit(c)).alias(f"d{c}") for c in range(prints.COPIES)]).collect()
+    h = {r.w: (r.v & ((1 << 40) - 1), [r[f"d{c}"] for c in range(prints.COPIES)]) for r in hashed}
+
+    def fingerprint(t):
+        own = of(t)
+        inside = own & lex
+        out = []
+        for b in prints.RATES:
+            for c in range(prints.COPIES):
+                member = sorted(h[w][0] for w in inside if h[w][1][c] & ((1 << b) - 1) == 0)
+                out.append(sum(member) if member else None)
+        if all(x is None for x in out[: prints.COPIES]):
+            some = inside or own
+            out = [sum(h[w][0] for w in some) if some else None] * len(out)
+        return out
+
+    def likeness(a, b):
+        if a == b:
+            return 1.0
+        shares = [0.0]
+        for k in range(len(prints.RATES)):
+            x, y = (v[k * prints.COPIES : (k + 1) * prints.COPIES] for v in (a, b))
+            both = sum(p is not None and p == q for p, q in zip(x, y, strict=True))
+            either = sum(p is not None or q is not None for p, q in zip(x, y, strict=True))
+            if either >= (prints.LEAST if k else 1):
+                shares.append(both / either)
+        return max(shares)
+
+    text = lambda p: ".".join("-" if v is None else f"{v:x}" for v in p)
+    own = {i: fingerprint(t) for i, t in rows.items()}
+    for k, i in enumerate(follow):
+        changed, r = fingerprint(edit[i]), got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (text(own[i]), text(changed))
+        assert (r.near_edited, r.near_next) == (pytest.approx(likeness(own[i], changed)), pytest.approx(likeness(own[i], own[follow[(k + 1) % n]])))
+    more = prints.compare_edited(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text"))
+    assert more.agg(F.avg((F.col("near_edited") >= prints.NEAR).cast("int"))).first()[0] >= 0.9
+
+
 def test_prints_of_few_terms(spark):
     """Texts of one term differ, and one term that two long texts share does not make them equal."""
     words = spark.createDataFrame([(k, w, 1) for k, w in enumerate(WORDS)], "id int, text string, times int")
     lex = prints.lexicon(words.select("text"), band=(0, 1))
     own = [tuple(r.print) for r in prints.fingerprints(words, lex, ["id", "times"], "times").collect()]
     assert len(own) == len(set(own)) == len(WORDS)
-    a, b = [*range(8), *range(10, 18), *[None] * 15, 99], [*range(20, 28), *range(30, 38), *[None] * 15, 99]
-    same, few = [*range(8), *range(30, 38), *[None] * 16], [1, None, 2, *[None] * 29]
-    x = spark.createDataFrame([(a, b), (a, same), (few, [1, None, 3, *[None] * 29]), (few, few)], "a array<long>, b array<long>")
+    rest = [None] * (prints.COPIES * (len(prints.RATES) - 2))
+    a, b = [*range(8), *range(10, 18), *rest[1:], 99], [*range(20, 28), *range(30, 38), *rest[1:], 99]
+    same, few = [*range(8), *range(30, 38), *rest], [1, None, 2, *rest, *[None] * 13]
+    x = spark.createDataFrame([(a, b), (a, same), (few, [1, None, 3, *rest, *[None] * 13]), (few, few)], "a array<long>, b array<long>")
     assert [r[0] for r in x.coalesce(1).select(prints.likeness(F.col("a"), F.col("b"))).collect()] == [0.0, 1.0, 0.5, 1.0]
 
 

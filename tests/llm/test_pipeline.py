@@ -21,6 +21,29 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, SF).count() == docs.count() > 0
 
 
+def test_stages_on_awkward_rows(spark):
+    """Nulls, empty and long texts, repeated rows, no id, clashing columns: each stage has its defined result."""
+    base = " ".join(f"the word{k % 37} of and in is" for k in range(60))
+    other = " ".join(f"die und der wort{k % 31} ist nicht" for k in range(60))
+    texts = [(1, base, "en"), (1, base, "en"), (2, base + " end", "en"), (3, other, "de"), (4, None, "en"), (5, "", None), (6, "123 456 --", "de"), (None, other, "de"), (7, "the of and " * 20_000, "en"), (8, "und der die nicht ist", "de"), (9, "Z" * 40_000, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, owner string, key int, _part string, _gone int, _row int, sample int, size double, score string"
+    docs = spark.createDataFrame([(i, t, lang, None if k % 4 == 0 else "s", len(t or ""), "o", 1, "p", 2, 3, 4, 5.0, "x") for k, (i, t, lang) in enumerate(texts)], schema)
+    empty = docs.limit(0)
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, empty, SF).columns == docs.columns and stage(spark, empty, SF).count() == 0
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        kept[name] = sorted((r.doc_id or 0 for r in out.collect()))
+        assert {(r.owner, r.key, r._part, r._gone, r._row, r.sample, r.size, r.score) for r in out.collect()} == {("o", 1, "p", 2, 3, 4, 5.0, "x")}
+    assert set(kept["language_id"]) >= {0, 1, 2, 3, 7, 8} and not {4, 5, 6} & set(kept["language_id"])
+    assert kept["near_duplicates"] == [0, 1, 3, 4, 5, 6, 7, 8, 9]
+    assert kept["repeated_passages"] == sorted(i or 0 for i, _, _ in texts)
+    assert not {4, 5} & set(kept["source_mix"])
+    last = corpus_pipeline.sampled_pieces(spark, docs, SF)
+    assert sorted(r.doc_id or 0 for r in last.collect()) == sorted(i or 0 for i, _, _ in texts) and corpus_pipeline.sampled_pieces(spark, empty, SF).count() == 0
+
+
 def test_sampled_pieces(spark):
     """All of K segmentations of each row, repeated rows too, and what they decode to; batches end within a row's."""
     texts = [(k % 17, f"some words of text number {k % 17}, and more") for k in range(40)] + [(99, ""), (98, None), (97, "é😀 日本")]
