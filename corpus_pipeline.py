@@ -2,7 +2,13 @@
 passages cut out, sources mixed to target weights, and the result encoded in sampled pieces.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the one before it kept. All but the last return the
-columns of documents.
+columns of documents, extra ones too, whatever their names.
+
+Defined results of the stages on awkward rows: null and empty texts, and texts without letters, have no language and go
+in the first stage, as do those whose best language has less than half of the likelihood; in the later ones they stay
+(without words a text is taken by no mix). Rows without an id are never near-duplicates, count as the last in the cutting
+of passages, and have key 0 in sampling. Repeated rows are near-duplicates of one another: one stays. Very long texts are
+worked on whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -11,11 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import jaccard, language, mixing, pieces, suffixes
-from quern.llm.common import table, written
+from quern.llm.common import Scratch, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go."""
+    """Documents go whose predicted language is none or less likely than all others together."""
     return language.recognised(docs, language.fit(docs.filter(language.training_rows())))
 
 
@@ -50,7 +56,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        scratch = Scratch(spark)
+        docs = scratch.written(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            before.drop()  # nothing reads the table of the stage before any more
+        before = scratch
     return STAGES[-1][1](spark, docs, sf_dir)
