@@ -7,7 +7,9 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import fingerprint, shingles, word_count
+from quern.functions.text import fingerprint, shingles
+from quern.operators.links import bit_sketch, connected, resolved
+from quern.tables import Scratch, small
 
 
 def keep_first(df: DataFrame, key: Column, order: str) -> DataFrame:
@@ -41,16 +43,32 @@ def verified_campaigns(df: DataFrame, text: str, id_col: str, family: str, k: in
     """id, family, cluster: the smallest id that links reach within the family; short texts are alone.
 
     Texts link if their sets of k-word shingles have similarity 4/5 or more: every such pair is found, and none below.
-    Ids are whole numbers and unique.
+    Ids are whole numbers and unique. Sets of a and b shingles that link share 4/5 of either at least, so of each set
+    the a - ceil(4a/5) + 1 smallest hashes, salted by the family, hold one that the other's hold too: these are the
+    buckets in which ``quern.operators.links`` looks for links. Equal sets are one node.
     """
-    from quern.llm.jaccard import near_duplicates
-
     if df.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{id_col} must be a whole number")
-    x = df.select(F.col(id_col).alias("id"), F.col(family).alias("family"), F.lower(F.col(text)).alias("text"))
-    found = near_duplicates(x.filter(word_count(F.col("text")) >= k), "text", "id", k, "family").select("id", "component_id")
-    out = x.select("id", "family").join(found, "id", "left")
-    return out.select(F.col("id").alias(id_col), F.col("family").alias(family), F.coalesce("component_id", "id").alias("cluster"))
+    s = Scratch(df.sparkSession)
+    salted = F.transform(shingles(F.col(text), k), lambda w: F.xxhash64(w, F.col("family")))
+    rows = df.select(F.col(id_col).alias("id"), F.col(family).alias("family"), F.col(text)).withColumn("tokens", F.array_sort(F.array_distinct(salted)))
+    rows = s.written(rows.select("id", F.when(F.size("tokens") > 0, F.xxhash64("tokens")).alias("owner"), "tokens"), "tokens")
+    sets = s.written(rows.filter("owner is not null").select("owner", "tokens").dropDuplicates(["owner"]), "sets")
+    prefix = F.expr("slice(tokens, 1, size(tokens) - (4 * size(tokens) + 4) div 5 + 1)")
+    members = sets.select(F.explode(prefix).alias("key"), "owner", F.lit(0).alias("band"), F.lit(1).alias("least"), F.lit(1).alias("times"))
+
+    def sets_of(owners: DataFrame) -> DataFrame:
+        own = s.written(sets.join(small(s.written(owners, "able")), "owner"), "sets")
+        sketches = bit_sketch(own.select("owner", F.explode("tokens").alias("token")))
+        return s.written(own.join(sketches, "owner"), "sets")
+
+    labels = connected(s.written(members, "members"), sets_of, s)
+    owners = resolved(rows.filter("owner is not null").groupBy("owner").agg(F.min("id").alias("first")), labels)
+    heads = owners.groupBy("label").agg(F.min("first").alias("cluster"))
+    found = owners.join(heads, "label").select("owner", "cluster")
+    found = Scratch(df.sparkSession).written(rows.join(found, "owner", "left").select("id", F.coalesce("cluster", "id").alias("cluster")), "campaigns")
+    s.drop()
+    return df.select(id_col, family).join(found.select(F.col("id").alias("_id"), "cluster"), F.col(id_col) == F.col("_id")).select(id_col, family, "cluster")
 
 
 def agreement(found: DataFrame, true: DataFrame, id_col: str, family: str) -> DataFrame:
@@ -76,18 +94,12 @@ def campaigns(df: DataFrame, text: str, id_col: str, family: str, rounds: int |
     below 0.80 do (``agreement`` counts both). Labels travel until they settle; more than ``rounds``, if given, raise.
 
     Members of a band meet its smallest member, not each other. Labels travel along (band, id) memberships: each round
-    is two aggregations that combine map-side, whatever a band's size. The lineage is cut with checkpoint().
+    is two aggregations that combine map-side, whatever a band's size. The lineage is cut by written tables.
     """
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local") and not spark.sparkContext.getConf().get("spark.checkpoint.dir"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp())
+    s = Scratch(df.sparkSession)
     members = signatures(df.select(id_col, family, text), text).select(F.col(id_col).alias("id"), F.col(family).alias("family"), F.posexplode_outer("bands").alias("band", "value"))
-    members = members.select("id", "family", F.when(F.col("value").isNotNull(), F.xxhash64("family", "band", "value")).alias("key")).checkpoint()
-    labels = members.select("id", "family").distinct().withColumn("cluster", F.col("id")).checkpoint()
+    members = s.written(members.select("id", "family", F.when(F.col("value").isNotNull(), F.xxhash64("family", "band", "value")).alias("key")), "members")
+    labels = s.written(members.select("id", "family").distinct().withColumn("cluster", F.col("id")), "labels")
     linked = members.filter("key is not null").select("id", "key")
     for turn in count():
         if turn == rounds:
@@ -96,7 +108,7 @@ def campaigns(df: DataFrame, text: str, id_col: str, family: str, rounds: int |
         near = linked.join(least, "key").groupBy("id").agg(F.min("least").alias("near"))
         new = labels.join(near, "id", "left").select("id", "family", "cluster", F.least("cluster", "near").alias("new"))
         jump = new.select(F.col("id").alias("to"), F.col("new").alias("further"))
-        new = new.join(jump, F.col("new") == F.col("to"), "left").select("id", "family", "cluster", F.least("new", "further").alias("new")).checkpoint()
+        new = s.written(new.join(jump, F.col("new") == F.col("to"), "left").select("id", "family", "cluster", F.least("new", "further").alias("new")), "labels")
         if new.filter("new <> cluster").isEmpty():
             break
         labels = new.select("id", "family", F.col("new").alias("cluster"))

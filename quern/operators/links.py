@@ -41,7 +41,7 @@ def may_link(a: str, b: str) -> Column:
 
 def bit_sketch(tokens: DataFrame) -> DataFrame:
     """tokens (owner, token), distinct: owner, n and its sketch; combines map-side."""
-    word, bit = F.shiftright("token", 6).bitwiseAND(F.lit(WORDS - 1)), F.shiftleft(F.lit(1).cast("long"), F.col("token").bitwiseAND(F.lit(63)).cast("int"))
+    word, bit = F.shiftright("token", 6).bitwiseAND(F.lit(WORDS - 1)), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("token").bitwiseAND(F.lit(63)).cast("int"))
     words = [F.coalesce(F.bit_xor(F.when(word == k, bit)), F.lit(0)).cast("long").alias(c) for k, c in enumerate(SKETCH)]
     return tokens.groupBy("owner").agg(F.count("*").alias("n"), *words)
 
