@@ -41,17 +41,18 @@ def present(c: Column, kind: str) -> Column:
 
 
 def legible(word: Column) -> Column:
-    """2 to 20 characters, at least 60 % letters once - and ' are dropped, and a vowel."""
+    """2 to 20 characters, at least 60 % letters once - and ' are dropped, and a vowel, plain or with an acute accent."""
     bare = F.regexp_replace(word, "[-']", "")
     letters = F.length(F.regexp_replace(bare, r"[^\p{L}]", ""))
-    return F.length(word).between(2, 20) & (F.length(bare) > 0) & (letters * 10 >= F.length(bare) * 6) & F.lower(bare).rlike("[aeiouáéíóúüàèìòùâêîôûäëïö]")
+    return F.length(word).between(2, 20) & (F.length(bare) > 0) & (letters * 10 >= F.length(bare) * 6) & F.lower(word).rlike("[aeiouáéíóú]")
 
 
 def token_kind(token: Column) -> Column:
-    """punctuation, figure, abbreviation, encoded, other alphabet, or word."""
+    """What an illegible token is: punctuation (no letter or digit), figure (digits and . , : / -), other alphabet (letters,
+    none of them ASCII), abbreviation (at most five ASCII letters), else encoded."""
     return (
-        F.when(token.rlike(r"^[^\p{L}\p{N}]+$"), "punctuation").when(token.rlike(r"^[0-9.,:/%-]+$"), "figure").when(token.rlike(r"[^\x00-\x7FÀ-ÿ]"), "other alphabet")
-        .when(token.rlike(r"[0-9]") & token.rlike(r"\p{L}"), "encoded").when(token.rlike(r"^[A-Z]{2,5}\.?$"), "abbreviation").otherwise("word")
+        F.when(~token.rlike(r"[\p{L}\p{N}]"), "punctuation").when(token.rlike(r"^[\p{Nd}.,:/-]+$"), "figure").when(token.rlike(r"\p{L}") & ~token.rlike("[A-Za-z]"), "other alphabet")
+        .when(token.rlike("^[A-Za-z]{1,5}$"), "abbreviation").otherwise("encoded")
     )
 
 

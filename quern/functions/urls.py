@@ -15,7 +15,7 @@ TAGS = (
     "font footer form frame frameset h[1-6] head header hr html i iframe img input label legend li link main map meta nav noscript object ol option p param picture "
     "pre s script section select small source span strike strong style sub sup table tbody td textarea th thead title tr tt u ul video"
 ).split()
-URL = r"https?://[^ \t\n\x0B\f\r]+|www\.[^ \t\n\x0B\f\r]+"
+URL = r"(?i)https?://[^ \t\n\x0B\f\r]+|www\.[^ \t\n\x0B\f\r]+"
 IP = r"\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b"
 
 

@@ -48,42 +48,77 @@ def group_split(df: DataFrame, cluster: str, stratum: str, id_col: str, seed: st
     return x.join(sizes.select("_own", "split"), "_own").drop("_own")
 
 
-def balance_quotas(counts: list[tuple[str, int]], n_pos: int, n_tri_pos: int, n_tri_neg: int, protected: int, prevalence: float = 0.40) -> dict:
-    """How many negatives to take: of those with all modalities, and of each remaining source (name, size)."""
-    budget = round(n_pos * (1 - prevalence) / prevalence) - protected
-    tri = max(0, min(n_tri_pos, n_tri_neg, budget))
-    spent, names = tri, sorted(counts)
-    least = max(0, budget - spent) // (2 * len(names)) if names else 0
-    take = {}
-    for name, n in names:
-        take[name] = min(n, least, max(0, budget - spent))
-        spent += take[name]
-    left, rest = max(0, budget - spent), {name: n - take[name] for name, n in names}
-    total = sum(rest.values())
-    for name, _ in names:
-        if left <= 0 or not total or not rest[name]:
-            continue
-        share = min(int(left * rest[name] / total) or 1, int(0.40 * budget), rest[name], left)
-        take[name] += share
-        left -= share
-    return {"budget": budget, "tri": tri, "least": least, "take": take}
+def ranked(df: DataFrame, group: list[str], id_col: str, seed: str, name: str) -> DataFrame:
+    """df with the place of each row, from 1, in hash order of the ids of its group; ids are unique.
+
+    A group may hold any share of the rows: places are counted within 4,096 slices of the hash, and the slices' sizes
+    are summed by a window over slices, not rows.
+    """
+    key = rank_key(F.col(id_col), seed)
+    x = df.withColumn("_k", key).withColumn("_slice", F.substring("_k", 1, 3))
+    sizes = x.groupBy(*group, "_slice").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(*group).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(*[F.col(g).alias(f"_{k}") for k, g in enumerate(group)], F.col("_slice").alias("_of"), F.coalesce(before, F.lit(0)).alias("_before"))
+    on = F.col("_slice") == F.col("_of")
+    for k, g in enumerate(group):
+        on = on & F.col(g).eqNullSafe(F.col(f"_{k}"))
+    place = F.row_number().over(Window.partitionBy(*group, "_slice").orderBy("_k", id_col))
+    x = x.withColumn("_in", place).join(sizes, on).withColumn(name, F.col("_before") + F.col("_in"))
+    return x.select(*df.columns, name)
+
+
+def negative_budget(positives: Column, kept: Column, prevalence: float) -> Column:
+    """Negatives that go with so many positives at the prevalence, beyond those that are kept anyway."""
+    return F.bround(positives * (F.lit(1.0) - F.lit(float(prevalence))) / F.lit(float(prevalence))).cast("long") - kept
+
+
+def source_quotas(pending: DataFrame, most_of_one: float = 0.40) -> DataFrame:
+    """pending (source, n, budget, spent): a row for each source with n negatives to choose from -> source, take.
+
+    Half of what the budget leaves is dealt out evenly, as far as a source has so many. The other half goes in
+    proportion to what sources have left, in order of their names: each share is of what the sources before it have
+    left over, one at least, and at most ``most_of_one`` of the budget. That is a fold over the sources, of which there
+    are few, in one row.
+    """
+    one = pending.groupBy().agg(F.array_sort(F.collect_list(F.struct("source", F.col("n").cast("long").alias("n")))).alias("of"), F.max("budget").alias("budget"), F.max("spent").alias("spent"))
+    free = F.greatest(F.col("budget") - F.col("spent"), F.lit(0))
+    one = one.withColumn("even", F.floor(free / (F.lit(2) * F.greatest(F.size("of"), F.lit(1)))))
+    one = one.withColumn("of", F.transform("of", lambda s: F.struct(s["source"].alias("source"), F.least(s["n"], F.col("even")).alias("first"), (s["n"] - F.least(s["n"], F.col("even"))).alias("rest"))))
+    total = lambda field: F.aggregate("of", F.lit(0).cast("long"), lambda a, s: a + s[field])
+    one = one.withColumns({"left": free - total("first"), "all": total("rest"), "top": F.floor(F.lit(float(most_of_one)) * F.col("budget"))})
+
+    def deal(state: Column, s: Column) -> Column:
+        fair = F.greatest(F.floor(state["left"] * s["rest"] / F.col("all")), F.lit(1))
+        share = F.when((s["rest"] > 0) & (state["left"] > 0), F.least(fair, F.col("top"), s["rest"], state["left"])).otherwise(F.lit(0)).cast("long")
+        done = F.concat(state["done"], F.array(F.struct(s["source"].alias("source"), (s["first"] + share).cast("long").alias("take"))))
+        return F.struct((state["left"] - share).cast("long").alias("left"), done.alias("done"))
+
+    kind = pending.schema["source"].dataType.simpleString()
+    start = F.struct(F.col("left").cast("long").alias("left"), F.array().cast(f"array<struct<source:{kind},take:bigint>>").alias("done"))
+    return one.select(F.inline(F.aggregate("of", start, deal)["done"]))
 
 
 def balance(df: DataFrame, id_col: str, source: str, label: str, tri: str, protected: str, seed: str, prevalence: float = 0.40) -> DataFrame:
-    """All positives, all rows of the protected source, and negatives up to the target prevalence.
+    """All positives, all rows of the protected source, and negatives up to the target prevalence: first those with all
+    modalities, as many as positives have them, then by ``source_quotas`` from all that remain, these included.
 
-    Only counts by source reach the driver; rows are then ranked by hash within (source, tri) and cut at the quotas.
+    Ids are unique, labels 0 or 1. Nothing is run here; counts are a row for each source, and rows are cut at their
+    places in hash order.
     """
-    neg, tri_c, kept = F.col(label) == 0, F.col(tri), F.col(source) == protected
-    c = df.groupBy(source).agg(F.count_if(neg & ~tri_c).alias("n"), F.count_if(neg & tri_c).alias("t"), F.count_if(F.col(label) == 1).alias("p"), F.count_if((F.col(label) == 1) & tri_c).alias("tp"), F.count_if(neg).alias("all_neg")).collect()
-    others = [r for r in c if r[source] != protected]
-    q = balance_quotas([(r[source], r.n) for r in others if r.n], sum(r.p for r in c), sum(r.tp for r in c), sum(r.t for r in others), sum(r.all_neg for r in c if r[source] == protected), prevalence)
-    rank = F.row_number().over(Window.partitionBy(label, tri, F.when(tri_c, F.lit("")).otherwise(F.col(source))).orderBy(rank_key(F.col(id_col), seed), id_col))
-    quota = F.lit(0)
-    for name, n in q["take"].items():
-        quota = F.when(F.col(source) == name, F.lit(n)).otherwise(quota)
-    chosen = df.filter(neg & ~kept).withColumn("_r", rank).filter(F.col("_r") <= F.when(tri_c, F.lit(q["tri"])).otherwise(quota)).drop("_r")
-    return df.filter((F.col(label) == 1) | kept).unionByName(chosen)
+    own = df.columns
+    x = df.withColumns({"_neg": F.col(label) == 0, "_kept": F.col(source).eqNullSafe(F.lit(protected)), "_tri": F.coalesce(F.col(tri), F.lit(False))})
+    counts = x.groupBy(F.col(source).alias("_of")).agg(
+        F.count_if(~F.col("_neg")).alias("p"), F.count_if(~F.col("_neg") & F.col("_tri")).alias("tp"), F.count_if(F.col("_neg") & F.col("_kept")).alias("kn"), F.count_if(F.col("_neg") & ~F.col("_kept") & F.col("_tri")).alias("tn")
+    )
+    everything = Window.partitionBy()  # its rows are the sources
+    total = lambda c: F.sum(c).over(everything)
+    counts = counts.select("_of", negative_budget(total("p"), total("kn"), prevalence).alias("budget"), total("tp").alias("tp"), total("tn").alias("tn"))
+    counts = counts.select("_of", "budget", F.greatest(F.least("tp", "tn", "budget"), F.lit(0)).alias("spent"))
+    negatives = ranked(x.filter("_neg and not _kept"), ["_tri"], id_col, seed, "_place").join(counts, F.col(source).eqNullSafe(F.col("_of")))
+    negatives = negatives.withColumn("_first", F.col("_tri") & (F.col("_place") <= F.col("spent"))).drop("_place")
+    quotas = source_quotas(negatives.filter("not _first").groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"), F.max("budget").alias("budget"), F.max("spent").alias("spent")))
+    rest = ranked(negatives.filter("not _first").select(*own), [source], id_col, seed, "_place").join(quotas.select(F.col("source").alias("_of"), "take"), F.col(source).eqNullSafe(F.col("_of")))
+    return x.filter("not _neg or _kept").select(*own).unionByName(negatives.filter("_first").select(*own)).unionByName(rest.filter("_place <= take").select(*own))
 
 
 def crossing(df: DataFrame, cluster: str, split: str) -> DataFrame:

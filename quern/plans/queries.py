@@ -172,7 +172,7 @@ def url_lexical_features(spark, sf_dir):
     return _r(x.select("page_id", *[c.alias(k) for k, c in ux.lexical(F.col("u")).items()]), url_domain_max_entropy=6)
 
 
-@query(r"SELECT doc_id, array_to_string(list_concat(regexp_extract_all(text, 'https?://[^ \t\n\x0B\f\r]+|www\.[^ \t\n\x0B\f\r]+'), regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')), ', ') AS indicators FROM documents WHERE regexp_matches(text, 'https?://[^ \t\n\x0B\f\r]+|www\.[^ \t\n\x0B\f\r]+|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')")
+@query(r"SELECT doc_id, array_to_string(list_concat(regexp_extract_all(text, '(?i)https?://[^ \t\n\x0B\f\r]+|www\.[^ \t\n\x0B\f\r]+'), regexp_extract_all(text, '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')), ', ') AS indicators FROM documents WHERE regexp_matches(text, '(?i)https?://[^ \t\n\x0B\f\r]+|www\.[^ \t\n\x0B\f\r]+|\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b')")
 def network_indicators(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", ux.network_indicators(F.col("text")).alias("indicators")).filter("indicators is not null")
 
@@ -236,7 +236,25 @@ def split_disjointness(spark, sf_dir):
     return sampling.crossing(x.withColumn("cluster", F.col("o_custkey").cast("string")), "cluster", "split")
 
 
-@query()
+_BALANCED = f"""WITH RECURSIVE {M}, m AS (SELECT doc_id, source, toxic, has_structure_modality AND has_network_modality AS tri, {_KEY.format(seed='balance', c='doc_id')} AS k FROM messages WHERE toxic IS NOT NULL),
+b AS (SELECT round_even(sum(toxic) * (1.0::DOUBLE - 0.4::DOUBLE) / 0.4::DOUBLE, 0)::BIGINT - count(*) FILTER (toxic = 0 AND source = 'src0') AS budget, count(*) FILTER (toxic = 1 AND tri) AS tp, count(*) FILTER (toxic = 0 AND tri AND source IS DISTINCT FROM 'src0') AS tn FROM m),
+t AS (SELECT budget, greatest(least(tp, tn, budget), 0) AS spent FROM b),
+neg AS (SELECT *, row_number() OVER (PARTITION BY tri ORDER BY k, doc_id) AS r FROM m WHERE toxic = 0 AND source IS DISTINCT FROM 'src0'),
+marked AS (SELECT neg.*, budget, spent, tri AND r <= spent AS early FROM neg, t),
+q AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY source) AS i, greatest(any_value(budget) - any_value(spent), 0) AS free, any_value(budget) AS budget FROM marked WHERE NOT early GROUP BY source),
+e AS (SELECT *, least(n, free // (2 * count(*) OVER ())) AS base FROM q),
+s AS (SELECT *, n - base AS rest, free - sum(base) OVER () AS open_, sum(n - base) OVER () AS all_, floor(0.4::DOUBLE * budget)::BIGINT AS top FROM e),
+fold AS (
+  SELECT 0::BIGINT AS i, max(open_)::BIGINT AS open_, NULL::VARCHAR AS source, 0::BIGINT AS take FROM s
+  UNION ALL
+  SELECT s.i, f.open_ - x.share, s.source, s.base + x.share FROM fold f JOIN s ON s.i = f.i + 1,
+    LATERAL (SELECT CASE WHEN s.rest > 0 AND f.open_ > 0 THEN least(greatest(floor(f.open_ * s.rest / s.all_::DOUBLE)::BIGINT, 1), s.top, s.rest, f.open_) ELSE 0 END::BIGINT AS share) x
+), late AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY k, doc_id) AS place FROM marked WHERE NOT early)
+SELECT doc_id, source, toxic FROM m WHERE toxic = 1 OR source = 'src0' UNION ALL SELECT doc_id, source, toxic FROM marked WHERE early
+UNION ALL SELECT l.doc_id, l.source, l.toxic FROM late l JOIN fold f ON f.source IS NOT DISTINCT FROM l.source AND f.i > 0 WHERE l.place <= f.take"""
+
+
+@query(_BALANCED)
 def balanced_sample(spark, sf_dir):
     x = messages(spark, sf_dir).filter("toxic is not null").withColumn("tri", F.col("has_structure_modality") & F.col("has_network_modality"))
     return sampling.balance(x, "doc_id", "source", "toxic", "tri", "src0", "balance").select("doc_id", "source", "toxic")
@@ -507,7 +525,7 @@ def event_spans(spark, sf_dir):
     return x.select("event_type", human_duration(F.unix_seconds("b") - F.unix_seconds("a")).alias("span"))
 
 
-@query("SELECT regexp_extract(c, '^(.)', 1) AS initial, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+')) AS c FROM benchmark) WHERE c <> '' AND length(c) BETWEEN 2 AND 20 AND length(regexp_replace(regexp_replace(c, '[-'']', '', 'g'), '[^\\p{L}]', '', 'g')) * 10 >= length(regexp_replace(c, '[-'']', '', 'g')) * 6 AND length(regexp_replace(c, '[-'']', '', 'g')) > 0 AND regexp_matches(regexp_replace(c, '[-'']', '', 'g'), '[aeiouáéíóúüàèìòùâêîôûäëïö]') GROUP BY 1")
+@query("SELECT regexp_extract(c, '^(.)', 1) AS initial, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(lower(text), '[ \\t\\n\\x0B\\f\\r]+')) AS c FROM benchmark) WHERE c <> '' AND length(c) BETWEEN 2 AND 20 AND length(regexp_replace(regexp_replace(c, '[-'']', '', 'g'), '[^\\p{L}]', '', 'g')) * 10 >= length(regexp_replace(c, '[-'']', '', 'g')) * 6 AND length(regexp_replace(c, '[-'']', '', 'g')) > 0 AND regexp_matches(c, '[aeiouáéíóú]') GROUP BY 1")
 def legible_words(spark, sf_dir):
     w = read(spark, sf_dir, "benchmark").select(F.explode(tx.tokens(F.lower("text"))).alias("w"))
     return w.filter(tx.legible(F.col("w"))).groupBy(F.substring("w", 1, 1).alias("initial")).agg(F.count("*").alias("n"))

@@ -53,9 +53,48 @@ def test_presence(spark):
     assert [r.p for r in got] == [False, False, False, True]
 
 
-def test_balance_quotas():
-    q = sampling.balance_quotas([("a", 9000), ("b", 9000), ("c", 9000), ("d", 9000)], 17729, 9916, 20000, 10888)
-    assert (q["budget"], q["tri"], q["least"]) == (15705, 9916, 723)
+def test_balance_quotas(spark):
+    """The published budget and minimum quota, and shares told plainly for sources of unlike sizes."""
+    one = spark.createDataFrame([(17729, 10888)], "p long, k long").select(sampling.negative_budget(F.col("p"), F.col("k"), 0.4).alias("b")).first()
+    assert one.b == 15705
+    even = sampling.source_quotas(spark.createDataFrame([(c, 723, one.b, 9916) for c in "abcd"], "source string, n long, budget long, spent long")).collect()
+    assert {r.source: r.take for r in even} == dict.fromkeys("abcd", 723)
+    sizes, budget, spent = {"a": 30, "b": 5000, "c": 900, "d": 2, "e": 4000}, 3000, 400
+    got = {r.source: r.take for r in sampling.source_quotas(spark.createDataFrame([(c, n, budget, spent) for c, n in sizes.items()], "source string, n long, budget long, spent long")).collect()}
+    assert got["a"] == 30 and got["d"] == 2  # 260 each at first; then 1788 are left, and 640, 3740 and 4740 remain
+    assert got["b"] == 260 + 1788 * 4740 // 9120 and got["c"] == 260 + (1788 - 929) * 640 // 9120 and got["e"] == 260 + (1788 - 929 - 60) * 3740 // 9120
+    assert sampling.source_quotas(spark.createDataFrame([], "source string, n long, budget long, spent long")).collect() == []
+
+
+def test_balance_takes_left_over_rows_of_all_modalities(spark):
+    """Negatives with all modalities beyond the positives' number stay in the pool of their source."""
+    rows = [(k, "a", 1, k < 5) for k in range(40)] + [(100 + k, "b", 0, True) for k in range(100)] + [(300, "z", 0, False)]
+    got = sampling.balance(spark.createDataFrame(rows, "id long, s string, y int, tri boolean"), "id", "s", "y", "tri", "z", "seed").collect()
+    taken = [r for r in got if r.s == "b"]
+    # budget 60 - 1; 5 go with the positives, 27 are the source's even share, and 23 its part, at most 40 % of the budget
+    assert len(taken) == 5 + 27 + 23 and len({r.id for r in got}) == len(got) == 40 + 1 + len(taken)
+
+
+def test_places_in_hash_order(spark):
+    df = spark.range(3000).withColumn("g", F.when(F.col("id") % 3 > 0, "x"))
+    got = sampling.ranked(df, ["g"], "id", "s", "place").withColumn("k", sampling.rank_key(F.col("id"), "s")).collect()
+    for g in ("x", None):
+        own = sorted((r for r in got if r.g == g), key=lambda r: r.k)
+        assert [r.place for r in own] == list(range(1, len(own) + 1)) and len(own) == (2000 if g else 1000)
+
+
+def test_token_kinds(spark):
+    want = {"--!": "punctuation", "12:30,5/7-8": "figure", "привет": "other alphabet", "smtp": "abbreviation", "ABCDE": "abbreviation", "abcdef": "encoded", "cm9kcml": "encoded", "éa": "encoded", "é1": "other alphabet", "10%": "encoded"}
+    got = spark.createDataFrame([(w,) for w in want], "w string").select("w", tx.token_kind(F.col("w")).alias("k")).collect()
+    assert {r.w: r.k for r in got} == want
+    legible = {"über": True, "ñññ": False, "brr": False, "öl": False, "mail-x": True, "a": False}
+    got = spark.createDataFrame([(w,) for w in legible], "w string").select("w", tx.legible(F.col("w")).alias("k")).collect()
+    assert {r.w: r.k for r in got} == legible
+
+
+def test_urls_of_either_case(spark):
+    got = spark.createDataFrame([("see HTTP://A.example/x and WWW.b.example, or https://c.example",)], "t string").select(ux.extract_urls(F.col("t")).alias("u")).first().u
+    assert got == ["HTTP://A.example/x", "WWW.b.example,", "https://c.example"]
 
 
 def test_campaigns(spark):
