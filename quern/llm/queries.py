@@ -25,7 +25,7 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pieces.decode(pieces.encode(table(spark, sf_dir, "documents")), texts=False)
+    return pieces.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,7 +220,9 @@ def test_pieces(docs, empty, texts):
     seen = Counter((r.doc_id, tuple(r.ids)) for r in back if r.doc_id != 4)
     assert max(seen.values()) == 1
     assert {(r.doc_id, r.sample): tuple(r.ids) for r in back} == {(r.doc_id, r.sample): tuple(r.ids) for r in pieces.encode(docs.repartition(7), k=3).collect()}
-    assert pieces.encode(empty).count() == 0
+    assert pieces.encode(empty).count() == pieces.round_trip(empty).count() == 0
+    one, two = (sorted(map(tuple, x.collect()), key=str) for x in (pieces.round_trip(docs, k=3), pieces.decode(e, texts=False)))
+    assert one == two
 
 
 def all_segmentations(text, vocab):
