@@ -43,10 +43,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sampled_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, samples: of each the sampled segmentations (sample, ids, log_prob, log_inclusion, and the SHA-256 of what
-    the ids decode to), as many as op4 draws."""
-    back = pieces.decode(pieces.encode(docs))
-    return pieces.by_document(back.withColumn("decoded_sha256", F.sha2("text", 256)).drop("text"))
+    """doc_id, samples: of each the sampled segmentations (sample, ids, log_prob, log_inclusion, and the length, checksum
+    and SHA-256 of what the ids decode to), as many as op4 draws."""
+    return pieces.round_trip(docs, by_document=True)
 
 
 STAGES = [("language_id", language_id), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("source_mix", source_mix), ("sampled_pieces", sampled_pieces)]
