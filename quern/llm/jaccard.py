@@ -123,7 +123,7 @@ DENSE = 64
 #: What is known of a row: place (its id, or a hash of its text if it has none), owner, size, whether it has an id.
 _DOC = np.dtype([("place", "<i8"), ("owner", "<i8"), ("n", "<i8"), ("named", "?")])
 #: Entries that a task holds before it sends them.
-HOLD = 1_500_000
+HOLD = 1_000_000
 
 
 def packed(e: np.ndarray) -> bytes:
