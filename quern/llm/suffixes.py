@@ -12,7 +12,7 @@ there are about log2(batches) levels and each suffix is merged as often. Batches
 level holds is always of a smaller document, or of the same one.
 
 Within a map task a run that several documents share is sent once, for the smallest of them, so a hot passage sends
-one piece from each task. Memory of a task is bounded by PIECE, HOLD and the slice's share of the text.
+one piece from each task. Memory of a task is bounded by PIECE, HOLD and the slice's share of repeated text.
 
 Runs that are equal by a 64-bit hash of their bytes count as equal within a map task; all others are compared by bytes.
 
@@ -295,39 +295,58 @@ class Family:
             self.levels.append(a.merged(b))
 
 
+def _opened(raw: bytes) -> tuple[np.ndarray, ...]:
+    """A blob of runs: document, tag, first window, windows and anchor's place of each, and their bytes."""
+    k, d = np.frombuffer(raw, "<u4", 2).tolist()
+    at = 8
+    ids, at = np.cumsum(np.frombuffer(raw, "<i8", d, at)), at + 8 * d
+    tags, at = np.frombuffer(raw, "<u4", d, at), at + 4 * d
+    index, at = np.cumsum(_from_planes(raw, k, at)), at + 4 * k
+    return ids[index], tags[index], _from_planes(raw, k, at), np.frombuffer(raw, "u1", k, at + 4 * k), np.frombuffer(raw, "u1", k, at + 5 * k), np.frombuffer(raw, "u1", -1, at + 6 * k)
+
+
+def _anchors(rel: np.ndarray, begin: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Hashes of the grams at the anchors of runs."""
+    words = np.ndarray((len(data),), "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), 0, (1,))
+    a = begin + rel
+    return mix64(words[a]) ^ words[a + 8] * U64(0x9E3779B97F4A7C15)
+
+
 def match_slice(n_parts: int) -> Callable:
-    """Reduce side: the blobs of a slice -> spans of bytes to remove, by part of the documents."""
+    """Reduce side: the blobs of a slice -> spans of bytes to remove, by part of the documents.
+
+    Only anchors that several documents have can match, so blobs are opened twice: first for their anchors and documents
+    alone, then for the runs at such anchors; a slice's text is never held whole.
+    """
     import zstandard
 
     def gather(table: pa.Table) -> pa.Table:
-        z = zstandard.ZstdDecompressor()
-        doc, tag, pos, n, rel, data = [], [], [], [], [], []
-        for blob in table.column("blob").to_pylist():
-            raw = z.decompress(blob)
-            k, d = np.frombuffer(raw, "<u4", 2).tolist()
-            at = 8
-            ids, at = np.cumsum(np.frombuffer(raw, "<i8", d, at)), at + 8 * d
-            tags, at = np.frombuffer(raw, "<u4", d, at), at + 4 * d
-            index, at = np.cumsum(_from_planes(raw, k, at)), at + 4 * k
-            doc.append(ids[index]), tag.append(tags[index])
-            pos.append(_from_planes(raw, k, at))
-            n.append(np.frombuffer(raw, "u1", k, at + 4 * k))
-            rel.append(np.frombuffer(raw, "u1", k, at + 5 * k))
-            data.append(np.frombuffer(raw, "u1", -1, at + 6 * k))
-        doc, tag, pos, n, rel, data = (np.concatenate(x) for x in (doc, tag, pos, n, rel, data))
-        size = n.astype(np.int64) + LENGTH - 1
-        begin = np.cumsum(size) - size
-        # only anchors that several documents have can match
-        a = begin + rel
-        padded = np.concatenate([data, np.zeros(8, np.uint8)])
-        words = np.ndarray((len(data),), "<u8", padded, 0, (1,))
-        anchor = mix64(words[a]) ^ words[a + 8] * U64(0x9E3779B97F4A7C15)
+        z, blobs = zstandard.ZstdDecompressor(), table.column("blob")
+        anchor, doc = [], []
+        for blob in blobs:
+            d, _, _, n, rel, data = _opened(z.decompress(blob.as_py()))
+            size = n.astype(np.int64) + LENGTH - 1
+            doc.append(d), anchor.append(_anchors(rel, np.cumsum(size) - size, data))
+        cuts = np.cumsum([len(d) for d in doc])[:-1]
+        doc, anchor = np.concatenate(doc), np.concatenate(anchor)
         order = np.argsort(anchor, kind="stable")
         s, d = anchor[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        shared = np.repeat(np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), np.diff(np.append(first, len(s))))
-        keep = np.sort(order[shared])
-        keep = keep[np.argsort(doc[keep], kind="stable")]
+        shared = np.zeros(len(doc), bool)
+        shared[order] = np.repeat(np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first), np.diff(np.append(first, len(s))))
+        del anchor, order, s, d, first, doc
+        parts = []
+        for blob, on in zip(blobs, np.split(shared, cuts), strict=True):
+            if on.any():
+                d, t, at, n, rel, data = _opened(z.decompress(blob.as_py()))
+                size = n.astype(np.int64) + LENGTH - 1
+                parts.append((d[on], t[on], at[on], n[on], rel[on], _take(data, (np.cumsum(size) - size)[on], size[on])))
+        if not parts:
+            return pa.table({"part": pa.array([], pa.int32()), "spans": pa.array([], pa.binary())})
+        doc, tag, pos, n, rel, data = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        size = n.astype(np.int64) + LENGTH - 1
+        begin, keep = np.cumsum(size) - size, np.argsort(doc, kind="stable")
         doc, tag, pos, n, rel, begin = (x[keep] for x in (doc, tag, pos, n, rel, begin))
         family = Family(doc, n, rel, data, begin)
         for k in range(0, len(doc), BATCH):
