@@ -30,6 +30,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,7 @@ from quern.llm.common import estimated_bytes, mix64, unused, written
 LENGTH = 50
 GRAM = 16
 SPAN = LENGTH - GRAM  # places before an anchor at which a window can start
-PIECE = 1 << 20
+PIECE = 1 << 18
 HOLD = 6 << 20
 BATCH = 1 << 15
 U64 = np.uint64
@@ -219,6 +220,7 @@ class Family:
 
     def __init__(self, doc: np.ndarray, n: np.ndarray, rel: np.ndarray, data: np.ndarray, begin: np.ndarray):
         self.doc, self.n, self.rel, self.data, self.begin = doc, n.astype(np.int64), rel.astype(np.int64), data, begin
+        self.padded = np.concatenate([np.zeros(SPAN, np.uint8), data, np.zeros(LENGTH, np.uint8)])
         self.levels: list[Level] = []
         self.matched = np.zeros((len(doc), SPAN + 1), bool)  # by run and window: starts in a smaller document too
 
@@ -226,11 +228,10 @@ class Family:
         size = self.n[runs] + LENGTH - 1
         anchor = self.begin[runs] + self.rel[runs]
         k = np.zeros((len(runs), LENGTH + SPAN + 2), np.uint8)
-        j = np.arange(LENGTH)
-        right = j[None, :] < (size - self.rel[runs])[:, None]
-        k[:, :LENGTH] = np.where(right, self.data[np.minimum(anchor[:, None] + j, len(self.data) - 1)], 0)
-        j = np.arange(1, SPAN + 1)
-        k[:, LENGTH:-2] = np.where(j[None, :] <= self.rel[runs][:, None], self.data[np.maximum(anchor[:, None] - j, 0)], 0)
+        right = np.arange(LENGTH)[None, :] < (size - self.rel[runs])[:, None]
+        k[:, :LENGTH] = sliding_window_view(self.padded, LENGTH)[anchor + SPAN] * right
+        left = np.arange(1, SPAN + 1)[None, :] <= self.rel[runs][:, None]
+        k[:, LENGTH:-2] = sliding_window_view(self.padded, SPAN)[anchor][:, ::-1] * left
         k[:, -2], k[:, -1] = self.rel[runs], size
         return k.view(f"S{k.shape[1]}").ravel()
 
@@ -239,7 +240,7 @@ class Family:
         run = np.repeat(runs, self.n[runs])
         first = np.concatenate([[0], np.cumsum(self.n[runs])[:-1]]) if len(runs) else np.zeros(0, np.int64)
         k = np.arange(len(run)) - np.repeat(first, self.n[runs])
-        w = self.data[(self.begin[run] + k)[:, None] + np.arange(LENGTH)]
+        w = sliding_window_view(self.data, LENGTH)[self.begin[run] + k] if len(run) else np.zeros((0, LENGTH), np.uint8)
         return run, k, np.ascontiguousarray(w).view(f"S{LENGTH}").ravel()
 
     def compare(self, mine: np.ndarray, theirs: np.ndarray) -> None:
