@@ -142,23 +142,43 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return x.select(label, (F.sum("n").over(w) / (F.count("*").over(w) * F.col("n"))).alias("weight"))
 
 
-def bootstrap_f1(df: DataFrame, by: str = "model", draws: int = 200, seed: int = 42, cut: float = 0.5) -> DataFrame:
-    """Percentile interval of F1 over Poisson resamples: a row's weight in a draw follows from its hash, so draws need
-    no copies of the data and rerun alike."""
-    y, p = F.col("y_true") == 1, F.col("y_proba") >= cut
-    cells = df.select(by, "id", F.when(y & p, "tp").when(~y & p, "fp").when(y, "fn").otherwise("tn").alias("cell")).filter("cell <> 'tn'")
-    x = cells.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.pmod(F.xxhash64("id", "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    steps, total = [], 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        steps.append(total)
-    weight = F.lit(0)
-    for s in steps:
-        weight = weight + (u >= s).cast("int")
-    x = x.withColumn("w", weight).groupBy(by, "draw").agg(*[F.sum(F.when(F.col("cell") == c, F.col("w")).otherwise(0)).alias(c) for c in ("tp", "fp", "fn")])
-    f1 = _ratio(2 * F.col("tp"), (2 * F.col("tp") + F.col("fp") + F.col("fn")).cast("double"))
-    return x.groupBy(by).agg(F.percentile(f1, F.lit(0.025)).alias("low"), F.percentile(f1, F.lit(0.975)).alias("high"))
+def _resampled(y, right_hits, counts, draws: int, seed: int):
+    """F1 of each resample, a row of it for each array in right_hits (the cells predicted positive).
+
+    Rows alike in label and predictions are exchangeable, so a resample of n rows with replacement is one multinomial
+    draw of n over the cells' counts: no row is copied, and the work is the same for any number of rows. Resamples of
+    one class are skipped.
+    """
+    import numpy as np
+
+    total = int(counts.sum())
+    w = np.random.default_rng(seed).multinomial(total, counts / max(total, 1), size=draws)
+    positives = w[:, y].sum(axis=1)
+    w = w[(positives > 0) & (positives < total)]
+
+    def f1(weights, p):
+        hit, wrong = weights[:, y & p].sum(axis=1), weights[:, y != p].sum(axis=1)
+        return np.divide(2.0 * hit, 2 * hit + wrong, out=np.zeros(len(weights)), where=hit > 0)
+
+    return [f1(w, p) for p in right_hits], [float(f1(counts[None, :], p)[0]) for p in right_hits]
+
+
+def bootstrap_f1(df: DataFrame, by: str = "model", draws: int = 2000, seed: int = 7, cut: float = 0.5) -> DataFrame:
+    """Observed F1, the resamples that have both classes, and their 95 % percentile interval with its width; without
+    such resamples the interval is null. Rows are counted by label and prediction first: four cells a model."""
+    cells = df.groupBy(by, (F.col("y_true") == 1).alias("y"), (F.col("y_proba") >= cut).alias("p")).agg(F.count("*").alias("n"))
+
+    def interval(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(["y", "p"])
+        (v,), (seen,) = _resampled(pdf["y"].to_numpy(bool), [pdf["p"].to_numpy(bool)], pdf["n"].to_numpy(np.int64), draws, seed)
+        low, high = np.percentile(v, [2.5, 97.5]) if len(v) else (None, None)
+        return pd.DataFrame({by: [pdf[by].iloc[0]], "observed": [seen], "draws": [len(v)], "low": [low], "high": [high], "width": [None if low is None else high - low]}).astype({c: "float64" for c in ("low", "high", "width")})
+
+    kind = df.schema[by].dataType.simpleString()
+    return cells.groupBy(by).applyInPandas(interval, f"`{by}` {kind}, observed double, draws long, low double, high double, width double")
 
 
 def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -169,21 +189,24 @@ def paired_t(df: DataFrame, a: str, b: str) -> DataFrame:
     return x.select("folds", F.col("m").alias("difference"), t.alias("t"), (F.col("folds") < 5).alias("few"))
 
 
-def within(df: DataFrame, a: str, b: str, y: str, delta: float = 0.005, draws: int = 200, seed: int = 42) -> DataFrame:
-    """Equivalence of two models' accuracy: the interval of the difference over Poisson resamples of the rows, and
-    whether it lies within delta. Rows alike in both answers add nothing to the difference and only count."""
-    n = df.count()
-    right = lambda c: ((F.col(c) >= 0.5).cast("int") == F.col(y)).cast("int")
-    x = df.select("id", (right(a) - right(b)).alias("d")).filter("d <> 0").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    u = F.pmod(F.xxhash64("id", "draw", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    weight, total = F.lit(0), 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        weight = weight + (u >= total).cast("int")
-    x = x.groupBy("draw").agg((F.sum(F.col("d") * weight) / F.lit(max(n, 1))).alias("d"))
-    x = x.agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"))
-    low, high = F.coalesce("low", F.lit(0.0)), F.coalesce("high", F.lit(0.0))
-    return x.select(low.alias("low"), high.alias("high"), ((low >= -delta) & (high <= delta)).alias("equivalent"))
+def within(df: DataFrame, a: str, b: str, y: str, delta: float = 0.005, draws: int = 2000, seed: int = 7, cut: float = 0.5) -> DataFrame:
+    """Equivalence of two models by F1: the 95 % interval of the difference over resamples of the same rows for both,
+    and whether it lies within delta. Without a resample of both classes, all three are null. No rows give no row."""
+    cells = df.groupBy((F.col(y) == 1).alias("y"), (F.col(a) >= cut).alias("a"), (F.col(b) >= cut).alias("b")).agg(F.count("*").alias("n"))
+
+    def interval(pdf):
+        import numpy as np
+        import pandas as pd
+
+        pdf = pdf.sort_values(["y", "a", "b"])
+        (u, v), _ = _resampled(pdf["y"].to_numpy(bool), [pdf["a"].to_numpy(bool), pdf["b"].to_numpy(bool)], pdf["n"].to_numpy(np.int64), draws, seed)
+        if not len(u):
+            return pd.DataFrame({"low": [np.nan], "high": [np.nan], "equivalent": [None]})
+        low, high = np.percentile(u - v, [2.5, 97.5])
+        return pd.DataFrame({"low": [low], "high": [high], "equivalent": [bool(low > -delta and high < delta)]})
+
+    x = cells.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(interval, "low double, high double, equivalent boolean")  # eight cells at most
+    return x.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in ("low", "high")})
 
 
 def false_negatives(df: DataFrame, by: str = "model", cut: float = 0.5) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import HashingTF, IDF, MinMaxScaler, NGram, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -74,6 +74,17 @@ def by_fold(pipeline: Pipeline, df: DataFrame, fold: str, name: str, id_col: str
     return out
 
 
+def fold_report(df: DataFrame, fold: str, label: str) -> DataFrame:
+    """By fold its rows, classes and share of positives (label 0 or 1; other labels count as none), and whether it can
+    be evaluated: both classes in it, and both in the other folds together. The window without a key is over folds."""
+    y = F.col(label)
+    x = df.groupBy(fold).agg(F.count("*").alias("n"), F.count_if(y == 1).alias("_p"), F.count_if(y == 0).alias("_q"))
+    every = Window.partitionBy()
+    both = (F.col("_p") > 0) & (F.col("_q") > 0) & (F.sum("_p").over(every) > F.col("_p")) & (F.sum("_q").over(every) > F.col("_q"))
+    classes = (F.col("_p") > 0).cast("int") + (F.col("_q") > 0).cast("int")
+    return x.select(fold, "n", classes.alias("classes"), F.round(F.col("_p") / F.nullif(F.col("_p") + F.col("_q"), F.lit(0)), 4).alias("prevalence"), both.alias("evaluable"))
+
+
 def stratified_folds(df: DataFrame, id_col: str, label: str, k: int, seed: str) -> DataFrame:
     """df with fold: hash order within the label, dealt by hash, so no label is gathered in one place."""
     from quern.operators.sampling import rank_key

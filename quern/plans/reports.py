@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quern.functions import text as tx
-from quern.operators import explain, reports
+from quern.operators import explain, metrics, models, reports
 from quern.operators.sampling import rank_key
 from quern.plans.queries import P, _r, predictions, query, read
 
@@ -159,3 +159,14 @@ NAMES = {"error": "Error", "signup": "Sign-up"}
 def unnamed_features(spark, sf_dir):
     names = spark.createDataFrame(list(NAMES.items()), "event_type string, name string")
     return reports.unnamed(read(spark, sf_dir, "events").filter("event_type IS NOT NULL"), names, "event_type")
+
+
+@query("WITH f AS (SELECT source, count(*) AS n, count_if(toxic = 1)::BIGINT AS p, count_if(toxic = 0)::BIGINT AS q FROM documents JOIN labels USING (doc_id) GROUP BY source) SELECT source, n, (p > 0)::INT + (q > 0)::INT AS classes, round(p / nullif(p + q, 0)::DOUBLE, 4) AS prevalence, p > 0 AND q > 0 AND (SELECT sum(p) FROM f) > p AND (SELECT sum(q) FROM f) > q AS evaluable FROM f")
+def fold_report(spark, sf_dir):
+    x = read(spark, sf_dir, "documents").select("doc_id", "source").join(read(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    return models.fold_report(x, "source", "toxic")
+
+
+@query()
+def equivalence_interval(spark, sf_dir):
+    return metrics.within(_wide(spark, sf_dir).join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")), "id"), "a", "b", "y")

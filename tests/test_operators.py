@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -238,7 +239,6 @@ def test_samples(spark):
 
 def test_equal_mass_of_rare_groups(spark):
     """Groups of one row: means of 100 and 2,000 draws are reached, and small means draw as the plain sum does."""
-    import numpy as np
 
     df = spark.range(200).select("id", F.col("id").cast("string").alias("g"))
     for mean in (100, 2000):
@@ -255,8 +255,26 @@ def test_equal_mass_of_rare_groups(spark):
 
 
 def test_equivalence(spark):
-    df = spark.range(400).select("id", F.lit(1).alias("y"), F.lit(0.9).alias("a"), F.when(F.col("id") < 100, 0.1).otherwise(0.9).alias("b"))
+    df = spark.range(400).select("id", (F.col("id") < 200).cast("int").alias("y"), F.when(F.col("id") < 200, 0.9).otherwise(0.1).alias("a"), F.when(F.col("id").between(100, 199), 0.9).otherwise(0.1).alias("b"))
     same = metrics.within(df, "a", "a", "y").first()
     assert (same.low, same.high, same.equivalent) == (0.0, 0.0, True)
     r = metrics.within(df, "a", "b", "y").first()
-    assert 0.15 < r.low < 0.25 < r.high < 0.35 and not r.equivalent
+    assert 0.2 < r.low < 1 / 3 < r.high < 0.45 and not r.equivalent
+    assert tuple(metrics.within(df.filter("y = 1"), "a", "b", "y").first()) == (None, None, None)
+    assert metrics.within(df.limit(0), "a", "b", "y").count() == 0
+
+
+def test_bootstrap_against_resampled_rows(spark):
+    rng = np.random.default_rng(1)
+    y, p = rng.integers(0, 2, 300), rng.random(300)
+    df = spark.createDataFrame([("m", int(a), float(b)) for a, b in zip(y, p)] + [("one", 1, 0.9)], "model string, y_true int, y_proba double")
+    f1 = lambda y, h: 2 * (y & h).sum() / max(2 * (y & h).sum() + (y ^ h).sum(), 1)
+    h = (p >= 0.5).astype(int)
+    drawn = []
+    for _ in range(4000):
+        i = rng.integers(0, 300, 300)
+        drawn.append(f1(y[i], h[i]))
+    got = {r.model: r for r in metrics.bootstrap_f1(df).collect()}
+    assert got["m"].observed == pytest.approx(f1(y, h)) and got["m"].draws == 2000
+    assert [got["m"].low, got["m"].high] == pytest.approx(np.percentile(drawn, [2.5, 97.5]), abs=0.012)
+    assert got["one"].draws == 0 and got["one"].low is None and got["one"].width is None
