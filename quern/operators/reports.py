@@ -196,3 +196,27 @@ def plain_run(runs: DataFrame, group: str, name: str, tags: list[str]) -> DataFr
 def unnamed(features: DataFrame, names: DataFrame, feature: str) -> DataFrame:
     """Features without a display name."""
     return features.select(feature).distinct().join(names, feature, "left_anti")
+
+
+def reproduced(measured: DataFrame, published: DataFrame, key: str, value: str, slack: float = 0.005) -> DataFrame:
+    """key, value, published, agrees: a measure held against the published one; what was not published is null."""
+    x = measured.select(key, value).join(published.select(key, F.col(value).alias("published")), key, "left")
+    return x.withColumn("agrees", F.abs(F.col(value) - F.col("published")) <= slack)
+
+
+def with_defaults(overrides: Column, defaults: dict[str, str]) -> Column:
+    """The map's entries, and the defaults of keys that it lacks; a null map is the defaults."""
+    own = F.coalesce(overrides, F.create_map().cast("map<string,string>"))
+    every = F.create_map(*[F.lit(v) for pair in sorted(defaults.items()) for v in pair])
+    return F.map_concat(F.map_filter(every, lambda k, _: ~F.map_contains_key(own, k)), own)
+
+
+def factors_of_map(weights: Column) -> Column:
+    """(name, weight) of each entry, in order of names."""
+    return F.array_sort(F.transform(F.map_entries(weights), lambda e: F.struct(e["key"].alias("name"), e["value"].alias("weight"))))
+
+
+def factors_of_arrays(names: Column, weights: Column) -> Column:
+    """(name, weight) by place; arrays of different lengths raise."""
+    same = F.size(names) == F.size(weights)
+    return F.when(same, F.zip_with(names, weights, lambda n, w: F.struct(n.alias("name"), w.alias("weight")))).when(same.isNotNull(), F.raise_error(F.lit("names and weights differ in number")).cast("array<struct<name:string,weight:double>>"))

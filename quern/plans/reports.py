@@ -170,3 +170,22 @@ def fold_report(spark, sf_dir):
 @query()
 def equivalence_interval(spark, sf_dir):
     return metrics.within(_wide(spark, sf_dir).join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("toxic").alias("y")), "id"), "a", "b", "y")
+
+
+@query(f"WITH {P}, c AS (SELECT model, 2 * count_if(y_true = 1 AND y_proba >= 0.5) / (2 * count_if(y_true = 1 AND y_proba >= 0.5) + count_if((y_true = 1) <> (y_proba >= 0.5)))::DOUBLE AS f1 FROM predictions GROUP BY model) SELECT model, round(f1, 9) AS f1, published, abs(f1 - published) <= 0.1::DOUBLE AS agrees FROM c LEFT JOIN (VALUES ('alpha', 0.65::DOUBLE), ('beta', 0.99::DOUBLE)) p(model, published) USING (model)")
+def reproduced(spark, sf_dir):
+    f1 = metrics.confusion(predictions(spark, sf_dir)).select("model", "f1")
+    return _r(reports.reproduced(f1, spark.createDataFrame([("alpha", 0.65), ("beta", 0.99)], "model string, f1 double"), "model", "f1", 0.1), f1=9)
+
+
+@query("SELECT event_id, coalesce(json_extract_string(props, '$.k'), '0') AS k, coalesce(json_extract_string(props, '$.unit'), 'ms') AS unit FROM events")
+def with_defaults(spark, sf_dir):
+    m = reports.with_defaults(F.from_json("props", "map<string,string>"), {"k": "0", "unit": "ms"})
+    return read(spark, sf_dir, "events").select("event_id", m.alias("m")).select("event_id", F.col("m")["k"].alias("k"), F.col("m")["unit"].alias("unit"))
+
+
+@query("SELECT c_custkey, 'balance' AS name, c_acctbal AS weight FROM customer UNION ALL SELECT c_custkey, 'nation', c_nationkey::DOUBLE FROM customer")
+def factor_lists(spark, sf_dir):
+    x = read(spark, sf_dir, "customer")
+    f = reports.factors_of_arrays(F.array(F.lit("nation"), F.lit("balance")), F.array(F.col("c_nationkey").cast("double"), "c_acctbal"))
+    return x.select("c_custkey", F.inline(f))

@@ -65,3 +65,13 @@ def test_names_means_and_counts(spark):
     x = spark.createDataFrame([(1, 60.0, 40.0, 0.0, 0.5, 0.0), (0, 50.0, 0.0, 50.0, 0.0, 0.01), (None, 90.0, 5.0, 5.0, None, None)], "p int, t double, s double, n double, fs double, fn double")
     got = {r.predicted if "predicted" in r else r.p: tuple(r)[1:] for r in reports.report_counts(x.filter("p IS NOT NULL"), "p", "t", "s", "n", "fs", "fn").collect()}
     assert got == {None: (2, 1, 1, 2, 2, 0, 1, 0), 1: (1, 1, 0, 1, 1, 0, 1, 0), 0: (1, 0, 1, 1, 1, 0, 0, 0)}
+
+
+def test_maps_and_lists(spark):
+    x = spark.createDataFrame([(1, {"a": "9", "z": "1"}), (2, {}), (3, None)], "i int, m map<string,string>")
+    got = {r.i: r.m for r in x.select("i", reports.with_defaults(F.col("m"), {"a": "0", "b": "2"}).alias("m")).collect()}
+    assert got == {1: {"a": "9", "b": "2", "z": "1"}, 2: {"a": "0", "b": "2"}, 3: {"a": "0", "b": "2"}}
+    one = spark.range(1)
+    assert [tuple(e) for e in one.select(reports.factors_of_map(F.create_map(F.lit("b"), F.lit(1.0), F.lit("a"), F.lit(2.0)))).first()[0]] == [("a", 2.0), ("b", 1.0)]
+    with pytest.raises(Exception, match="differ in number"):
+        one.select(reports.factors_of_arrays(F.array(F.lit("a")), F.array(F.lit(1.0), F.lit(2.0)))).collect()
