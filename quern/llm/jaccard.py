@@ -286,11 +286,12 @@ def linked_rows(docs: DataFrame, text: str, id_col: str, width: int, within: str
     of_docs = found.filter("n >= 0").select(F.when(F.col("named"), F.col("place")).alias("doc"), "place", "owner", "n")
     classes = of_docs.filter("n > 0").groupBy("owner").agg(F.min("doc").alias("doc"), F.min("place").alias("place"))
 
-    def sets_of(owners: DataFrame) -> DataFrame:
+    def sets_of(owners: DataFrame) -> tuple[DataFrame, DataFrame]:
         wanted = s.written(classes.join(small(s.written(owners, "able")), "owner").select("place", "owner"), "wanted")
         sets = s.written(token_sets(docs, wanted, text, id_col, width, within), "sets")
         # rows with equal places and equal sets
-        return s.written(sets.dropDuplicates(["owner"]), "sets") if sets.count() > wanted.count() else sets
+        sets = s.written(sets.dropDuplicates(["owner"]), "sets") if sets.count() > wanted.count() else sets
+        return sets, sets.drop("tokens")
 
     labels = connected(found.filter("n < 0").select("key", "owner", "band", "least", "times"), sets_of, s)
     owners = resolved(classes, labels)

@@ -7,7 +7,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.functions.text import fingerprint, shingles
+from quern.functions.text import fingerprint, shingles, tokens
 from quern.operators.links import bit_sketch, connected, resolved
 from quern.tables import Scratch, small
 
@@ -39,36 +39,61 @@ def signatures(df: DataFrame, text: str, rows: int = 13, bands: int = 9, k: int
     return x.withColumn("bands", F.when(F.size("_hashes") > 0, made)).drop("_hashes")
 
 
+def shingle_hashes(text: Column, salt: Column, k: int) -> Column:
+    """Sorted distinct hashes of the k-word shingles of the lower-cased text, from hashes of its words and the salt."""
+    words = F.transform(tokens(F.lower(text)), lambda w: F.xxhash64(w))
+    none = F.array().cast("array<bigint>")
+    made = F.transform(F.array(words), lambda a: F.when(F.size(a) >= k, F.transform(F.sequence(F.lit(0), F.size(a) - k), lambda i: F.xxhash64(salt, *[F.get(a, i + j) for j in range(k)]))).otherwise(none))
+    return F.sort_array(F.array_distinct(F.coalesce(made[0], none)))
+
+
 def verified_campaigns(df: DataFrame, text: str, id_col: str, family: str, k: int = 5) -> DataFrame:
     """id, family, cluster: the smallest id that links reach within the family; short texts are alone.
 
     Texts link if their sets of k-word shingles have similarity 4/5 or more: every such pair is found, and none below.
-    Ids are whole numbers and unique. Sets of a and b shingles that link share 4/5 of either at least, so of each set
-    the a - ceil(4a/5) + 1 smallest hashes, salted by the family, hold one that the other's hold too: these are the
-    buckets in which ``quern.operators.links`` looks for links. Equal sets are one node.
+    Ids are whole numbers and unique. Sets of a and b shingles that link share 4/5 of either at least, so of the
+    a - ceil(4a/5) + l(a) smallest hashes of each, salted by the family, l of the smaller set stand in the other's too;
+    l(a) is 1 + a div 20, and no partner has less than ceil(4a/5). These hashes, apart for sizes that can't link, are
+    the buckets in which ``quern.operators.links`` looks for links. Equal sets are one node.
+
+    Prefixes are all that is written of every set. Hashes that stand in one set only, most of them, go before sets are
+    met; the whole sets are made again from the texts, of those alone that share enough buckets.
     """
     if df.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
         raise TypeError(f"{id_col} must be a whole number")
-    s = Scratch(df.sparkSession)
-    salted = F.transform(shingles(F.col(text), k), lambda w: F.xxhash64(w, F.col("family")))
-    rows = df.select(F.col(id_col).alias("id"), F.col(family).alias("family"), F.col(text)).withColumn("tokens", F.array_sort(F.array_distinct(salted)))
-    rows = s.written(rows.select("id", F.when(F.size("tokens") > 0, F.xxhash64("tokens")).alias("owner"), "tokens"), "tokens")
-    sets = s.written(rows.filter("owner is not null").select("owner", "tokens").dropDuplicates(["owner"]), "sets")
-    prefix = F.expr("slice(tokens, 1, size(tokens) - (4 * size(tokens) + 4) div 5 + 1)")
-    members = sets.select(F.explode(prefix).alias("key"), "owner", F.lit(0).alias("band"), F.lit(1).alias("least"), F.lit(1).alias("times"))
-
-    def sets_of(owners: DataFrame) -> DataFrame:
-        own = s.written(sets.join(small(s.written(owners, "able")), "owner"), "sets")
-        sketches = bit_sketch(own.select("owner", F.explode("tokens").alias("token")))
-        return s.written(own.join(sketches, "owner"), "sets")
-
-    labels = connected(s.written(members, "members"), sets_of, s)
-    owners = resolved(rows.filter("owner is not null").groupBy("owner").agg(F.min("id").alias("first")), labels)
+    s, wide = Scratch(df.sparkSession), Scratch(df.sparkSession)
+    texts = df.select(F.col(id_col).alias("id"), F.col(family).alias("family"), F.col(text).alias("text"), F.coalesce(F.col(id_col).cast("long"), F.xxhash64(text)).alias("place"))
+    made = shingle_hashes(F.col("text"), F.col("family"), k)
+    owner = F.when(F.size("tokens") > 0, F.xxhash64("tokens"))
+    prefix = F.expr("slice(tokens, 1, size(tokens) - (4 * size(tokens) + 4) div 5 + 1 + size(tokens) div 20)")
+    first = wide.written(texts.withColumn("tokens", made).select("id", "family", "place", owner.alias("owner"), F.size("tokens").alias("n"), prefix.alias("prefix")), "prefixes")
+    rows = s.written(first.select("id", "family", "place", "owner"), "rows")
+    classes = s.written(rows.filter("owner is not null").groupBy("owner").agg(F.min("id").alias("first"), F.min("place").alias("place")), "classes")
+    keys = first.join(small(classes.select("owner", "place")), ["owner", "place"], "left_semi").select(F.explode("prefix").alias("key"), "owner", "n")
+    shared = keys.groupBy("key").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).filter("low <> high").select("key")
+    # a set stands in the bands of all sizes from its own to 5/4 of it
+    band = lambda n: F.floor(F.log(n) / F.log(F.lit(1.25))).cast("int")
+    members = keys.join(small(s.written(shared, "shared")), "key").withColumn("band", F.explode(F.sequence(band(F.col("n")), band(F.expr("5 * n div 4")))))
+    members = members.select(F.xxhash64("key", "band").alias("key"), "owner", "band", F.expr("cast(1 + (4 * n + 4) div 5 div 20 as int)").alias("least"), F.lit(1).alias("times"))
+    members = s.written(members, "members")
+    wide.drop()
+
+    def sets_of(owners: DataFrame) -> tuple[DataFrame, DataFrame]:
+        wanted = s.written(classes.join(small(s.written(owners, "able")), "owner").select("place", F.col("owner").alias("wanted")), "wanted")
+        own = texts.join(small(wanted), "place").withColumn("tokens", made).select("wanted", "tokens", owner.alias("owner"))
+        own = s.written(own, "sets").filter("wanted = owner").select("owner", "tokens")
+        if own.count() > wanted.count():  # repeated rows
+            own = s.written(own.dropDuplicates(["owner"]), "sets")
+        return own, s.written(bit_sketch(own.select("owner", F.explode("tokens").alias("token"))), "sketches")
+
+    labels = connected(members, sets_of, s)
+    owners = resolved(classes.select("owner", "first"), labels)
     heads = owners.groupBy("label").agg(F.min("first").alias("cluster"))
     found = owners.join(heads, "label").select("owner", "cluster")
-    found = Scratch(df.sparkSession).written(rows.join(found, "owner", "left").select("id", F.coalesce("cluster", "id").alias("cluster")), "campaigns")
+    found = rows.join(found, "owner", "left").select(F.col("id").alias(id_col), F.col("family").alias(family), F.coalesce("cluster", "id").alias("cluster"))
+    found = Scratch(df.sparkSession).written(found, "campaigns")
     s.drop()
-    return df.select(id_col, family).join(found.select(F.col("id").alias("_id"), "cluster"), F.col(id_col) == F.col("_id")).select(id_col, family, "cluster")
+    return found
 
 
 def agreement(found: DataFrame, true: DataFrame, id_col: str, family: str) -> DataFrame:

@@ -117,11 +117,12 @@ def relabelled(labels: DataFrame | None, again: DataFrame, s: Scratch) -> DataFr
 def connected(members: DataFrame, sets_of, s: Scratch) -> DataFrame | None:
     """node, label for all owners that a link joins to another, None if there is no link.
 
-    members: as above; sets_of: owners (a column owner) -> written rows (owner, tokens, n, s0 to s15), one for each.
+    members: as above; sets_of: owners (a column owner) -> two written tables with a row for each of them: sets (owner,
+    tokens) and sketches (owner, n, s0 to s15).
     """
     rest = opened(members.withColumn("label", F.col("owner")), s)
-    sets = sets_of(rest.select("owner").distinct())
-    sketches, labels = small(sets.drop("tokens")), None
+    sets, sketches = sets_of(rest.select("owner").distinct())
+    sketches, labels = small(sketches), None
     for turn in count():
         if rest.isEmpty():
             return labels

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quern import tables
 from quern.functions import text as tx
 from quern.functions import urls as ux
 from quern.operators import corpus, dedup, explain, history, metrics, models, sampling
@@ -128,6 +129,23 @@ def test_campaigns_lose_no_link(spark):
         dedup.campaigns(df, "t", "id", "fam", rounds=1)
 
 
+def test_campaigns_write_prefixes_of_sets_alone(spark, tmp_path, monkeypatch):
+    """The tables on the way stay, together, below the eight bytes a shingle that one copy of the sets takes."""
+    monkeypatch.setattr(tables, "shared_dir", lambda _: f"file://{tmp_path}")
+    rows = [(p, " ".join(f"w{p}x{k}" for k in range(2000)), "f") for p in range(100)] + [(100, " ".join(f"w0x{k}" for k in range(1900)), "f")]
+    df = spark.createDataFrame(rows, "id long, t string, fam string")
+    sizes, write = [], tables.Scratch.written
+
+    def written(self, *of):
+        out = write(self, *of)
+        sizes.append(sum(f.stat().st_size for f in tmp_path.rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(tables.Scratch, "written", written)
+    assert {r.id: r.cluster for r in dedup.verified_campaigns(df, "t", "id", "fam").collect()} == {p: p % 100 for p in range(101)}
+    assert max(sizes) < 8 * 101 * 1996
+
+
 def test_keep_first_is_idempotent(spark):
     df = spark.createDataFrame([(1, "A  b"), (2, "a b"), (3, "c")], "id long, t string")
     once = dedup.keep_first_text(df, "t", "id")
