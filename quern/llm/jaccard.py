@@ -190,7 +190,7 @@ def buckets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, seen, entries, of_docs, held = Hasher(width), set(), [], [], 0
-        for b in batches:
+        for b in (b.slice(a, 512) for b in batches for a in range(0, b.num_rows, 512)):
             named, places = b.column("doc").is_valid().to_pylist(), b.column("place").to_pylist()
             for i, known, tokens in zip(places, named, sets_of(h, b), strict=True):
                 owner = owner_of(tokens)

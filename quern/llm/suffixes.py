@@ -42,6 +42,8 @@ SPAN = LENGTH - GRAM  # places before an anchor at which a window can start
 PIECE = 1 << 18
 HOLD = 6 << 20
 BATCH = 1 << 15
+#: Rows whose texts are Python strings at once.
+ROWS = 256
 U64 = np.uint64
 _LAST = (1 << 63) - 1
 #: A run of windows with one anchor: document (by its place in a list), first window, windows, anchor's place in it.
@@ -176,7 +178,7 @@ def cut_texts(n_slices: int, n_parts: int, tagged: bool) -> Callable:
             piece.clear()
 
         in_piece = 0
-        for b in batches:
+        for b in (b.slice(a, ROWS) for b in batches for a in range(0, b.num_rows, ROWS)):
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 raw = (t or "").encode("utf-8", "surrogatepass")
                 if len(raw) < LENGTH:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DataType, MapType, StringType, StructType
 
 _OWN: dict[str, str] = {}
+#: Rows of an Arrow batch: a batch of whole texts stands in memory on both sides, in Java and in Python, several times.
+BATCH_ROWS = 1000
 #: Bytes of rows up to which a table is broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -44,6 +46,19 @@ def shuffles_released(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows go to Python in batches of at most BATCH_ROWS within."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written on the way to a result; ``drop`` deletes them once the result itself is written."""
 
@@ -54,7 +69,7 @@ class Scratch:
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """df as a table in the shared folder: cuts the lineage and survives lost executors."""
         path = fresh_path(self.spark, name)
-        with shuffles_released(self.spark):
+        with shuffles_released(self.spark), small_batches(self.spark):
             df.write.parquet(path)
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)

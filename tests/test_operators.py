@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,19 @@ def test_campaigns_write_prefixes_of_sets_alone(spark, tmp_path, monkeypatch):
     assert max(sizes) < 8 * 101 * 1996
 
 
+def test_intermediate_writes_send_small_batches(spark):
+    """Whole texts go to Python a thousand rows at most at a time, and the session's setting is as before."""
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())})
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, s = spark.conf.get(name), tables.Scratch(spark)
+    got = [r.n for r in s.written(spark.range(0, 5000, 1, 1).mapInArrow(sizes, "n long"), "sizes").collect()]
+    s.drop()
+    assert sum(got) == 5000 and max(got) <= 1000 and spark.conf.get(name) == before
+
+
 def test_keep_first_is_idempotent(spark):
     df = spark.createDataFrame([(1, "A  b"), (2, "a b"), (3, "c")], "id long, t string")
     once = dedup.keep_first_text(df, "t", "id")
