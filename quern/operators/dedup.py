@@ -26,17 +26,17 @@ def keep_first_text(df: DataFrame, text: str, order: str) -> DataFrame:
     return keep_first(df, fingerprint(F.col(text)), order)
 
 
-def signatures(df: DataFrame, text: str, rows: int = 13, bands: int = 9, k: int = 5) -> DataFrame:
-    """df with bands (array<bigint>): hashes of ``rows`` minima each over k-word shingles; null if the text is short.
+def band_keys(df: DataFrame, text: str, id_col: str, family: str, rows: int = 13, bands: int = 9, k: int = 5) -> DataFrame:
+    """id, key for each row and band: the family's hash of ``rows`` minima over k-word shingles; none if the text is short.
 
-    A minimum over seeded hashes of the shingles stands for a permutation; all in the JVM.
+    A minimum over seeded hashes of the shingles stands for a permutation. Shingles are rows of one aggregation with all
+    minima, compiled, that ends map-side: each text is whole in one task.
     """
-    s = shingles(F.col(text), k)
-    hashes = F.transform(s, lambda w: F.xxhash64(w))
-    x = df.withColumn("_hashes", hashes)
-    minimum = lambda seed: F.array_min(F.transform("_hashes", lambda h: F.xxhash64(h, F.lit(seed))))
-    made = F.array(*[F.xxhash64(F.lit(b), *[minimum(b * rows + r) for r in range(rows)]) for b in range(bands)])
-    return x.withColumn("bands", F.when(F.size("_hashes") > 0, made)).drop("_hashes")
+    hashes = F.transform(shingles(F.col(text), k), lambda w: F.xxhash64(w))
+    x = df.select(F.col(id_col).alias("id"), F.col(family).alias("family"), F.xxhash64(text).alias("of"), F.explode(hashes).alias("h"))
+    least = x.groupBy("id", "family", "of").agg(*[F.min(F.xxhash64("h", F.lit(seed))).alias(f"m{seed}") for seed in range(bands * rows)])
+    made = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * rows + r}") for r in range(rows)]) for b in range(bands)])
+    return least.select("id", "family", F.posexplode(made).alias("band", "value")).select("id", F.xxhash64("family", "band", "value").alias("key"))
 
 
 def shingle_hashes(text: Column, salt: Column, k: int) -> Column:
@@ -122,10 +122,8 @@ def campaigns(df: DataFrame, text: str, id_col: str, family: str, rounds: int |
     is two aggregations that combine map-side, whatever a band's size. The lineage is cut by written tables.
     """
     s = Scratch(df.sparkSession)
-    members = signatures(df.select(id_col, family, text), text).select(F.col(id_col).alias("id"), F.col(family).alias("family"), F.posexplode_outer("bands").alias("band", "value"))
-    members = s.written(members.select("id", "family", F.when(F.col("value").isNotNull(), F.xxhash64("family", "band", "value")).alias("key")), "members")
-    labels = s.written(members.select("id", "family").distinct().withColumn("cluster", F.col("id")), "labels")
-    linked = members.filter("key is not null").select("id", "key")
+    linked = s.written(band_keys(df, text, id_col, family), "members")
+    labels = s.written(df.select(F.col(id_col).alias("id"), F.col(family).alias("family")).distinct().withColumn("cluster", F.col("id")), "labels")
     for turn in count():
         if turn == rounds:
             raise RuntimeError(f"labels have not settled after {rounds} rounds")
@@ -137,7 +135,9 @@ def campaigns(df: DataFrame, text: str, id_col: str, family: str, rounds: int |
         if new.filter("new <> cluster").isEmpty():
             break
         labels = new.select("id", "family", F.col("new").alias("cluster"))
-    return labels.select(F.col("id").alias(id_col), F.col("family").alias(family), "cluster")
+    found = Scratch(df.sparkSession).written(labels.select(F.col("id").alias(id_col), F.col("family").alias(family), "cluster"), "banded")
+    s.drop()
+    return found
 
 
 def dense_numbers(df: DataFrame, cluster: str, family: str) -> DataFrame:

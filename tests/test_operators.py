@@ -160,6 +160,20 @@ def test_intermediate_writes_send_small_batches(spark):
     assert sum(got) == 5000 and max(got) <= 1000 and spark.conf.get(name) == before
 
 
+def test_banded_campaigns_keep_their_result_alone(spark, tmp_path, monkeypatch):
+    """Bands are those of minima taken text by text, and the tables on the way are deleted."""
+    monkeypatch.setattr(tables, "shared_dir", lambda _: f"file://{tmp_path}")
+    rows = [(1, "one two three four five six seven", "f"), (2, "ONE two three four five six seven", "f"), (3, "a b", "f"), (4, None, None)]
+    df = spark.createDataFrame(rows, "id long, t string, fam string")
+    assert {r.id: r.cluster for r in dedup.campaigns(df, "t", "id", "fam").collect()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert len(list(tmp_path.iterdir())) == 1
+    hashes = [r.h for r in df.filter("id = 1").select(F.explode(tx.shingles(F.col("t"))).alias("w")).select(F.xxhash64("w").alias("h")).collect()]
+    least = [min(one(spark, F.xxhash64(F.lit(h).cast("long"), F.lit(seed)).alias("m")).m for h in hashes) for seed in range(3)]
+    want = one(spark, F.xxhash64(F.lit("f"), F.lit(0), F.xxhash64(F.lit(0), *[F.lit(m).cast("long") for m in least])).alias("k")).k
+    got = {(r.id, r.key) for r in dedup.band_keys(df, "t", "id", "fam", rows=3, bands=1).collect()}
+    assert got == {(1, want), (2, want)}
+
+
 def test_keep_first_is_idempotent(spark):
     df = spark.createDataFrame([(1, "A  b"), (2, "a b"), (3, "c")], "id long, t string")
     once = dedup.keep_first_text(df, "t", "id")
