@@ -20,6 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 576
+#: Rows and bytes of media that stand in Python at once; a single longer medium stands alone.
+ROWS = 256
+HOLD = 4 << 20
 
 
 # -- writing -------------------------------------------------------------------------------------------------------
@@ -203,42 +206,68 @@ def facts_of(payload: bytes) -> str:
 
 
 # -- DataFrames ------------------------------------------------------------------------------------------------------
-def store(docs: DataFrame, text: str = "text", id_col: str = "doc_id", declared: str = "application/octet-stream") -> DataFrame:
-    """docs' ids with media columns: n_bytes, declared_type, media (bytes). The format follows from the payload's hash."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def _storing(id_col: str, declared: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, text) -> id, n_bytes, declared_type, media, in batches of at most ROWS rows that end once they hold HOLD bytes."""
     writers = list(WRITERS.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sizes, media = [], []
-            for t in b.column(1).to_pylist():
-                n, payload = payload_of(t)
+            sizes, media, held, first = [], [], 0, 0
+            for k, t in enumerate(b.column(1), 1):
+                n, payload = payload_of(t.as_py())
                 sizes.append(n)
                 media.append(writers[zlib.crc32(payload) % len(writers)](payload))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array([declared] * len(sizes), pa.string()), pa.array(media, pa.binary())], names=[id_col, "n_bytes", "declared_type", "media"])
+                held += len(media[-1])
+                if held >= HOLD or len(media) == ROWS or k == b.num_rows:
+                    columns = [pa.array(sizes, pa.int64()), pa.array([declared] * len(sizes), pa.string()), pa.array(media, pa.binary())]
+                    ids = b.column(0).slice(first, k - first)
+                    sizes, media, held, first = [], [], 0, k
+                    yield pa.RecordBatch.from_arrays([ids, *columns], names=[id_col, "n_bytes", "declared_type", "media"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{id_col}` {kind}, n_bytes long, declared_type string, media binary")
+    return run
 
 
-def read(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """What the stored bytes hold: corrected type, payload, carved media; the payload's digests come with it."""
-    kind = stored.schema[id_col].dataType.simpleString()
-    carved_type = pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))
+_FOUND = pa.schema([("media_type", pa.string()), ("facts", pa.string()), ("carved", pa.list_(pa.struct([("offset", pa.int64()), ("length", pa.int64()), ("type", pa.string())]))), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
+
+
+def _reading(id_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """id, n_bytes, declared_type, media -> id, n_bytes and what the media hold, one medium at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = automaton()
         for b in batches:
             rows = []
-            for declared, media in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                media = media or b""
+            for declared, stored in zip(b.column(2).to_pylist(), b.column(3), strict=True):
+                media = stored.as_py() or b""
                 hits = sniff(media, a)
                 whole = hits[0] if hits and hits[0][0] == 0 else None
                 payload = media[whole[2][1] : whole[2][2]] if whole else b""
                 carved = [{"offset": s, "length": f[0] - s, "type": k} for s, k, f in (hits[1:] if whole else hits)]
                 rows.append({"media_type": whole[1] if whole else declared, "facts": (whole[2][3] + "," if whole else "") + facts_of(payload), "carved": carved, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest()})
-            schema = pa.schema([("media_type", pa.string()), ("facts", pa.string()), ("carved", carved_type), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
-            cols = pa.RecordBatch.from_pylist(rows, schema=schema)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols.columns], names=[id_col, "n_bytes", *schema.names])
+            cols = pa.RecordBatch.from_pylist(rows, schema=_FOUND)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols.columns], names=[id_col, "n_bytes", *_FOUND.names])
+
+    return run
+
+
+def _found(kind: str, id_col: str) -> str:
+    return f"`{id_col}` {kind}, n_bytes long, media_type string, facts string, carved array<struct<offset:long,length:long,type:string>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
+
 
-    out = f"`{id_col}` {kind}, n_bytes long, media_type string, facts string, carved array<struct<offset:long,length:long,type:string>>, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string"
-    return stored.select(F.col(f"`{id_col}`"), "n_bytes", "declared_type", "media").mapInArrow(run, out)
+def store(docs: DataFrame, text: str = "text", id_col: str = "doc_id", declared: str = "application/octet-stream") -> DataFrame:
+    """docs' ids with media columns: n_bytes, declared_type, media (bytes). The format follows from the payload's hash."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(_storing(id_col, declared), f"`{id_col}` {kind}, n_bytes long, declared_type string, media binary")
+
+
+def read(stored: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """What the stored bytes hold: corrected type, payload, carved media; the payload's digests come with it."""
+    kind = stored.schema[id_col].dataType.simpleString()
+    return stored.select(F.col(f"`{id_col}`"), "n_bytes", "declared_type", "media").mapInArrow(_reading(id_col), _found(kind, id_col))
+
+
+def round_trip(docs: DataFrame, text: str = "text", id_col: str = "doc_id", declared: str = "application/octet-stream") -> DataFrame:
+    """What ``read`` finds in what ``store`` writes, in one step of a task: the media columns stay in its Python."""
+    storing, reading = _storing(id_col, declared), _reading(id_col)
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(lambda batches: reading(storing(batches)), _found(kind, id_col))

@@ -7,10 +7,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quern.llm import jaccard, language, licenses, media, mixing, pieces, prints, suffixes, urlrules, warc
+from quern.llm import jaccard, language, licenses, media, mixing, pieces, prints, queries, suffixes, urlrules, warc
 from quern.llm.common import fresh_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, owner string, key int, size double, _part string, _row int, _gone int, component_id string, ids string, h int, score string"
@@ -310,6 +311,19 @@ def test_media(docs, empty, texts):
     assert media.read(media.store(empty)).count() == 0
 
 
+def test_media_in_bounded_batches(spark, docs, empty):
+    """Storing holds some rows' media at a time and gives them all; a round trip is one step of Python."""
+    texts = [None, "", *("x" * (k % 900) for k in range(1500)), "y" * 3_000_000, *("z" * 500_000 for _ in range(40))]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    got = list(media._storing("doc_id", "x")(iter([batch, batch.slice(0, 0), batch.slice(7, 300)])))
+    assert [i for b in got for i in b.column(0).to_pylist()] == [*range(len(texts)), *range(7, 307)]
+    assert [n for b in got for n in b.column(1).to_pylist()] == [len(t or "") for t in (*texts, *texts[7:307])]
+    assert all(b.num_rows <= media.ROWS and (b.num_rows == 1 or b.slice(0, b.num_rows - 1).column(3).nbytes < 2 * media.HOLD) for b in got)
+    once, apart = media.round_trip(docs), media.read(media.store(docs))
+    assert once.schema == apart.schema and sorted(map(str, once.collect())) == sorted(map(str, apart.collect())) and media.round_trip(empty).count() == 0
+    assert str(queries.op5_media_columns(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1
+
+
 def test_media_carving():
     import struct
 
