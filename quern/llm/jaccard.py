@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from quern.llm.common import Scratch, estimated_bytes, mix64, small, unused
+from quern.llm.common import Scratch, estimated_bytes, mix64, release, released, small, unused
 from quern.llm.shingles import Hasher
 from quern.operators.links import SKETCH, WORDS, connected, resolved
 
@@ -218,12 +218,14 @@ def buckets(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width:
         rows, times = np.concatenate([rows, settled]), np.concatenate([times, np.ones(len(settled), np.int64)])
         d = np.concatenate([np.zeros(0, _DOC), *(np.frombuffer(x, _DOC) for q, x in zip(kinds, blobs, strict=True) if q == 2)])
         none, zero = np.zeros(len(d), np.int64), np.zeros(len(rows), np.int64)
+        del parts, go, alone, settled
+        release()
         return pa.table({
             "place": np.concatenate([zero, d["place"]]), "named": np.concatenate([zero > 0, d["named"]]), "n": np.concatenate([zero - 1, d["n"]]), "owner": np.concatenate([rows["owner"], d["owner"]]),
             "key": np.concatenate([rows["key"].astype(np.int64), none]), "band": np.concatenate([rows["band"].astype(np.int64), none]), "least": np.concatenate([rows["least"].astype(np.int64), none]), "times": np.concatenate([times, none]),
         })
 
-    x = placed(set_rows(docs, text, id_col, within)).mapInArrow(spread, "slice int, kind int, blob binary").groupBy("slice")
+    x = placed(set_rows(docs, text, id_col, within)).mapInArrow(released(spread, 1), "slice int, kind int, blob binary").groupBy("slice")
     return x.applyInArrow(gather, "place long, named boolean, n long, owner long, key long, band long, least long, times long")
 
 
@@ -269,7 +271,7 @@ def token_sets(docs: DataFrame, wanted: DataFrame, text: str = "text", id_col: s
                 words = np.packbits(bits, axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array([o for o, _ in own], pa.int64()), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *s]))), pa.array(np.diff(cut), pa.int64()), *(pa.array(words[:, k]) for k in range(WORDS))], names=["owner", "tokens", "n", *SKETCH])
 
-    return x.mapInArrow(run, "owner long, tokens array<long>, n long, " + ", ".join(f"{c} long" for c in SKETCH))
+    return x.mapInArrow(released(run), "owner long, tokens array<long>, n long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id", width: int = 5, within: str | None = None) -> DataFrame:

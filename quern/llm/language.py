@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.llm.common import released
+
 #: Bounds of the model: documents of each language in the sample, words kept in all, words of each language that are kept
 #: in any case, longest n-gram.
 SAMPLE = 1500
@@ -217,7 +219,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", id_col: str = "do
             out = [x for texts in by_size(b.column(1).to_pylist()) for x in p(texts)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double")
+    return docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")).mapInArrow(released(run), f"`{id_col}` {kind}, lang_pred string, score double")
 
 
 def recognised(docs: DataFrame, model: Model, text: str = "text", accepted: list[str] | None = None, least: float = CERTAIN) -> DataFrame:
@@ -233,4 +235,4 @@ def recognised(docs: DataFrame, model: Model, text: str = "text", accepted: list
             known = [lang in wanted and score >= least for texts in by_size(b.column(at).to_pylist()) for lang, score in p(texts)]
             yield b.filter(pa.array(known, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

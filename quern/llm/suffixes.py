@@ -34,7 +34,7 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import estimated_bytes, mix64, unused, written
+from quern.llm.common import estimated_bytes, mix64, release, released, unused, written
 
 LENGTH = 50
 GRAM = 16
@@ -384,13 +384,15 @@ def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
     n_slices, n_parts = max(partitions, -(-size // (3 << 20))), max(partitions, -(-size // (6 << 20)))
     number = F.col(f"`{id_col}`").cast("long")
     tagged = not docs.groupBy(number.alias("i")).agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-    sent = docs.select(number.alias("i"), F.col(f"`{text}`").alias("t")).mapInArrow(cut_texts(n_slices, n_parts, tagged), "slice int, blob binary")
+    sent = docs.select(number.alias("i"), F.col(f"`{text}`").alias("t")).mapInArrow(released(cut_texts(n_slices, n_parts, tagged), 1), "slice int, blob binary")
 
     def reduce(table: pa.Table) -> pa.Table:
         s = table.column("slice")[0].as_py()
         if s < 0:
             return pa.table({"part": pa.array([-1 - s] * len(table), pa.int32()), "spans": table.column("blob").cast(pa.binary())})
-        return match_slice(n_parts)(table)
+        out = match_slice(n_parts)(table)
+        release()
+        return out
 
     spans = written(sent.groupBy("slice").applyInArrow(reduce, "part int, spans binary"), "spans")
     wanted = docs.select(F.col(f"`{id_col}`"), F.col(f"`{text}`")) if digests else docs
@@ -417,6 +419,7 @@ def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
                 rows.append((len(raw), len(raw) - len(kept), len(low), hashlib.sha256(kept).hexdigest()))
             else:
                 out.append(t if t is None or not len(low) else kept.decode("utf-8", "ignore"))
+        release()
         if digests:
             cols = list(zip(*rows, strict=True)) or [()] * 4
             return pa.table([left.column(id_at), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.string())], names=[id_col, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -424,6 +427,6 @@ def without_repeats(docs: DataFrame, text: str = "text", id_col: str = "doc_id",
 
     kinds = {f.name: f.dataType.simpleString() for f in wanted.schema.fields}
     schema = ", ".join(f"`{c}` {k}" for c, k in kinds.items())
-    dealt = wanted.mapInArrow(with_part, f"{schema}, `{part}` int")
+    dealt = wanted.mapInArrow(released(with_part), f"{schema}, `{part}` int")
     out = f"`{id_col}` {kinds[id_col]}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" if digests else schema
     return dealt.groupBy(part).cogroup(spans.groupBy("part")).applyInArrow(cut, out)

@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quern.llm import jaccard, language, licenses, media, mixing, pieces, prints, queries, suffixes, urlrules, warc
-from quern.llm.common import fresh_path
+from quern.llm.common import fresh_path, released
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, owner string, key int, size double, _part string, _row int, _gone int, component_id string, ids string, h int, score string"
 WORDS = [f"w{k}" for k in range(300)]
@@ -311,6 +311,43 @@ def test_media(docs, empty, texts):
     assert media.read(media.store(empty)).count() == 0
 
 
+def test_steps_give_memory_back(spark, monkeypatch):
+    """What a step has freed is the system's again when it ends, and the pipeline's steps over whole texts are such."""
+    def held():
+        with open("/proc/self/smaps_rollup") as f:
+            return sum(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) / 1024
+
+    after = []
+
+    def step(batches):
+        many = [bytes(3000) for _ in range(60_000)]
+        after.append(bytes(3000))  # stays, above all that
+        many.clear()
+        yield from batches
+
+    before = held()
+    assert list(released(step)(iter([1, 2]))) == [1, 2] and held() < before + 60
+    steps, send = [], type(spark.range(0)).mapInArrow
+    monkeypatch.setattr(type(spark.range(0)), "mapInArrow", lambda self, f, *a: (steps.append(f), send(self, f, *a))[1])
+    docs = spark.createDataFrame([(1, prose(1), "en", "a"), (2, prose(2), "en", "a")], "doc_id long, text string, lang string, source string")
+    suffixes.without_repeats(docs), jaccard.buckets(docs), pieces.round_trip(docs, by_document=True), language.recognised(docs, language.fit(docs))
+    assert len(steps) == 5 and {f.__qualname__.split(".")[0] for f in steps} == {"released"}
+
+
+def test_lattices_at_hand_are_bounded(monkeypatch):
+    """A task keeps a million edges at most from one batch to the next; how many does not change what is drawn."""
+    lat, r = pieces.Lattices(pieces.vocabulary(pieces.model_path())), random.Random(5)
+    texts = ["".join(r.choice("aeiou stnrl") for _ in range(2000)) for _ in range(280)]
+    want = []
+    for k in range(0, 280, 70):
+        want += pieces.encode_texts(lat, list(range(k, k + 70)), texts[k : k + 70], 2, 0)
+        assert lat.n_edges <= 1_000_000
+    monkeypatch.setattr(pieces, "HELD", 0)
+    monkeypatch.setattr(pieces, "BATCH", 1 << 14)
+    got = list(pieces.encode_texts(pieces.Lattices(pieces.vocabulary(pieces.model_path())), list(range(280)), texts, 2, 0))
+    assert [[(x.tolist(), p, s) for x, p, s in row] for row in got] == [[(x.tolist(), p, s) for x, p, s in row] for row in want]
+
+
 def test_media_in_bounded_batches(spark, docs, empty):
     """Storing holds some rows' media at a time and gives them all; a round trip is one step of Python."""
     texts = [None, "", *("x" * (k % 900) for k in range(1500)), "y" * 3_000_000, *("z" * 500_000 for _ in range(40))]
